@@ -10,26 +10,39 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenfield.session import spooled
+
 LOST = "�"
+#: UTF-8 that was read as one of these, once or twice.
+READ_AS = ("cp1252", "cp1250", "mac_roman", "cp850", "cp437", "cp1251", "iso8859_2")
+#: What was read as cp1252, and the look of a text that makes it worth a hypothesis: dense or long runs, or signs within words.
+_DENSE = re.compile(r"(?:[^\x00-\x7f]{3,}.*?){3}|[^\x00-\x7f]{6,}", re.S)
+_SIGNS = re.compile(r"[A-Za-z][³¹œ¿æ¶±¼Ÿ¾»£¥]|[³¹œ¿¶±¼Ÿ¾»£¥][a-z]")
+WRITTEN_IN = {"cp1251": _DENSE, "koi8_r": _DENSE, "cp1256": _DENSE, "gbk": _DENSE, "big5": _DENSE, "shift_jis": _DENSE, "euc_kr": _DENSE, "cp1250": _SIGNS, "iso8859_2": _SIGNS}
 #: (name, encoding it was read as, encoding it was written in, times).
-CHANNELS = [
-    *((f"{wrong}{'+' * (times - 1)}", wrong, "utf-8", times) for wrong in ("cp1252", "cp1250", "mac_roman", "cp850", "cp437", "cp1251", "iso8859_2", "cp1254") for times in (1, 2)),
-    *((f"{right} as {wrong}", wrong, right, 1) for wrong in ("cp1252",) for right in ("cp1251", "gbk", "iso8859_2", "cp1250", "koi8_r", "cp1256", "big5", "shift_jis", "euc_kr", "mac_roman", "cp850")),
-]
+CHANNELS = [(f"utf-8 as {w}" + " twice" * (n - 1), w, "utf-8", n) for w in READ_AS for n in (1, 2)] + [(f"{r} as cp1252", "cp1252", r, 1) for r in WRITTEN_IN]
+#: Log odds: for each character that reading back saves, as chance rarely makes whole UTF-8; that a stretch begins or ends.
+#: UNKNOWN is the count of words that the corpus doesn't have.
+FEWER, SWITCH, UNKNOWN = 2.0, 3.0, 0.05
 #: Runs of characters that a wrong reading may have made; a run of one can't be bytes of UTF-8.
 RUN = re.compile("[^\x00-\x7f]+")
+TWO = re.compile("[^\x00-\x7f]{2}")
+
+
+_TABLES: dict[str, dict[str, int]] = {}
+_RUNS: dict[tuple[str, str], str] = {}
 
 
-@lru_cache(maxsize=None)
 def _bytes_of(encoding: str) -> dict[str, int]:
     """The byte of each character of a one-byte encoding; bytes without a character stand as control characters."""
-    table = {}
+    if encoding in _TABLES:
+        return _TABLES[encoding]
+    table = _TABLES[encoding] = {}
     for b in range(128, 256):
         try:
             table.setdefault(bytes([b]).decode(encoding), b)
@@ -39,18 +52,6 @@ def _bytes_of(encoding: str) -> dict[str, int]:
     return table
 
 
-@lru_cache(maxsize=None)
-def _holes(encoding: str) -> tuple[int, ...]:
-    """Bytes that an encoding has no character for: what a lost character may have been."""
-    own = set()
-    for b in range(128, 256):
-        try:
-            bytes([b]).decode(encoding)
-        except UnicodeDecodeError:
-            own.add(b)
-    return tuple(sorted(own))
-
-
 def _utf8(run: str, wrong: str) -> tuple[str | None, bool]:
     """(text, lost): a run read back as UTF-8; null if it can't be. Lost characters stay lost, where bytes around fit."""
     table = _bytes_of(wrong)
@@ -97,46 +98,31 @@ def _one_byte(run: str, wrong: str, right: str) -> str | None:
         return None
 
 
-_WORD = re.compile(r"\w+")
-
-
-def _letters(text: str) -> bool:
-    return all(c.isprintable() and not 0x80 <= ord(c) < 0xA0 for c in text)
-
-
-def reread(text: str, channel: tuple[str, str, str, int]) -> tuple[str, int, bool] | None:
-    """(text, characters made, lost) with every run that the channel fits read back; null if it fits none."""
-    _, wrong, right, times = channel
-    made = 0
-    lost = False
-
-    def back(m: re.Match) -> str:
-        nonlocal made, lost
-        run, out = m[0], None
-        if right == "utf-8":
-            now = run
-            for _ in range(times):
-                # What stands around a stretch may touch it: only the longest part that fits is read back.
-                step = [RUN.sub(lambda r: _longest(r[0], wrong), now)]
-                if step[0] == now:
-                    return run
-                now = step[0]
-            out = now
-        else:
-            out = _one_byte(run, wrong, right)
-        if out is None or not _letters(out.replace(LOST, "")):
-            return run
-        made += len(out)
-        lost |= LOST in out
-        return out
-
-    new = RUN.sub(back, text)
-    return (new, made, lost) if made and new != text else None
+def reread(chunk: str, wrong: str, right: str, times: int) -> tuple[str, int] | None:
+    """(text, characters fewer) of a chunk with every run that the channel fits read back; null if it fits none."""
+    if right == "utf-8":
+        new = chunk
+        for _ in range(times):
+            last, new = new, RUN.sub(lambda m: _longest(m[0], wrong), new)
+            if new == last:
+                return None
+    else:
+        new = RUN.sub(lambda m: _one_byte(m[0], wrong, right) or m[0], chunk)
+    if new == chunk or not all(c.isprintable() or c in "\u00ad\u200b\u200e\u200f\ufeff\u3000\u00a0" for c in new if c > "\x7f"):
+        return None
+    return new, len(chunk) - len(new)
 
 
-@lru_cache(maxsize=100_000)
 def _longest(run: str, wrong: str) -> str:
     """A run with the parts that are UTF-8 read as ``wrong`` read back; parts are tried from the left, longest first."""
+    if (run, wrong) not in _RUNS:
+        if len(_RUNS) > 200_000:
+            _RUNS.clear()
+        _RUNS[run, wrong] = _parts(run, wrong)
+    return _RUNS[run, wrong]
+
+
+def _parts(run: str, wrong: str) -> str:
     whole, _ = _utf8(run, wrong)
     if whole is not None:
         return whole
@@ -154,40 +140,126 @@ def _longest(run: str, wrong: str) -> str:
     return "".join(out)
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+_HAN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+#: Words, single characters of scripts without blanks, and single signs beyond ASCII.
+SIGN = "\u0001"
+TOKEN = rf"[{_HAN}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_HAN}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}\x00-\x7f]"
+
+
+def _tokens(text: str) -> list[str]:
+    import regex
+
+    text = text.lower()
+    signs = [SIGN + c for c in text if c > "\x7f"]
+    return signs + regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}\p{N}])+|[^\s\p{L}\p{M}\p{N}\x00-\x7f]", text)
+
+
+def corpus_words(documents: DataFrame) -> DataFrame:
+    """(word, n): in how many documents each token stands, and each character beyond ASCII (after ``SIGN``); one
+    pre-aggregated shuffle over the whole corpus."""
+    signs = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x7f]"), F.lit(0)), lambda c: F.concat(F.lit(SIGN), c))
+    words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), signs))
+    return documents.where("text <> ''").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def suspects(documents: DataFrame) -> DataFrame:
-    """Documents with a run of two characters beyond ASCII, a lost character or a letter of the upper Latin-1 half."""
-    return documents.where(F.col("text").rlike(r"[^\x00-\x7f]{2}|\x{fffd}|[\x{80}-\x{9f}]|[\x{a1}-\x{bf}][A-Za-z]|[A-Za-z][\x{a1}-\x{bf}]"))
+    """Documents with a run of two characters beyond ASCII, a lost character, a control character or a sign within a word."""
+    return documents.where(F.col("text").rlike(r"[^\x00-\x7f]{2}|[\x{80}-\x{9f}]|[\x{a1}-\x{bf}][A-Za-z]|[A-Za-z][\x{a1}-\x{bf}]") | F.col("text").contains(LOST))
+
+
+CHUNK = re.compile(r"[^ \t\r\n\f\v]+")
 
 
 def hypotheses(documents: DataFrame) -> DataFrame:
-    """(doc_id, channel, text, made, lost, old, new): each way to read a suspect document back, with the words that change.
-    Documents in which characters were lost give one more, under the empty channel."""
-    pieces = re.compile(r"[^\W_]+|[^\x00-\x7f]+")
+    """(doc_id, channel, chunk, new, old_words, new_words, fewer): each chunk of a suspect document (a stretch without
+    ASCII blanks) that a channel reads in another way."""
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[tuple[str, str], tuple[str, int] | None] = {}
         for batch in batches:
             rows = []
+            if len(memo) > 500_000:
+                memo.clear()
             for doc, text in zip(batch["doc_id"], batch["text"]):
+                chunks = CHUNK.findall(text)
+                odd = [(i, c) for i, c in enumerate(chunks) if not c.isascii()]
+                runs = [(i, c) for i, c in odd if TWO.search(c)]
                 seen = set()
-                for channel in CHANNELS:
-                    got = reread(text, channel)
-                    if got is None or got[0] in seen:
+                for name, wrong, right, times in CHANNELS:
+                    if right in WRITTEN_IN and not WRITTEN_IN[right].search(text):
                         continue
-                    seen.add(got[0])
-                    new, made, lost = got
-                    a, b = re.findall(r"\S+", text), re.findall(r"\S+", new)
-                    changed = [(x, y) for x, y in itertools.zip_longest(a, b, fillvalue="") if x != y] if len(a) == len(b) else [(text, new)]
-                    old = [w.lower() for x, _ in changed for w in re.findall(r"\w+", x)]
-                    fresh = [w.lower() for _, y in changed for w in re.findall(r"\w+", y.replace(LOST, " "))]
-                    odd = sum(1 for _, y in changed for c in y if ord(c) > 127 and not (c.isalpha() or c in "–—‘’“”„‚…•«»€£°º¿¡·©®™×½¼¾、。，：；！？（）「」《》  　§¥"))
-                    rows.append((doc, channel[0], new, made, lost or LOST in new, odd, old, fresh))
-                if LOST in text:
-                    rows.append((doc, "", text, 0, True, 0, [], []))
-            yield pd.DataFrame(rows, columns=["doc_id", "channel", "text", "made", "lost", "odd", "old", "new"])
-
-    schema = "doc_id bigint, channel string, text string, made int, lost boolean, odd int, old array<string>, new array<string>"
+                    made = []
+                    for i, c in runs if right == "utf-8" else odd:
+                        if (c, name) not in memo:
+                            memo[c, name] = reread(c, wrong, right, times)
+                        if memo[c, name] is not None:
+                            made.append((i, c, memo[c, name]))
+                    key = tuple((i, n) for i, _, (n, _) in made)
+                    if made and key not in seen:
+                        seen.add(key)
+                        rows += [(doc, name, i, new, _tokens(c), _tokens(new), k if right == "utf-8" else 0) for i, c, (new, k) in made]
+            yield pd.DataFrame(rows, columns=["doc_id", "channel", "chunk", "new", "old_words", "new_words", "fewer"])
+
+    schema = "doc_id bigint, channel string, chunk int, new string, old_words array<string>, new_words array<string>, fewer int"
     return suspects(documents.select("doc_id", "text")).mapInPandas(propose, schema)
+
+
+def best_stretches(gains: list[float]) -> tuple[float, list[bool]]:
+    """Viterbi over two states, as it stands and read back: the best total gain and which chunks are read back."""
+    plain, back = 0.0, -SWITCH
+    steps: list[tuple[bool, bool]] = []
+    for g in gains:
+        steps.append((back > plain, plain - SWITCH >= back))
+        plain, back = max(plain, back), max(back, plain - SWITCH) + g
+    total, state, path = max(plain, back), back > plain, []
+    for from_back, from_plain in reversed(steps):
+        path.append(state)
+        state = (not from_plain) if state else from_back
+    return total, path[::-1]
+
+
+def restored(documents: DataFrame) -> DataFrame:
+    """(doc_id, channel, text, lost) of every document a stretch of which was read in a wrong encoding.
+
+    ``text`` is the original where nothing was lost; where characters were lost it holds the best guess and ``lost`` is
+    true. Null and empty texts are no cases. Ids are taken to be unique.
+
+    Every channel's chunks are weighed by the log share of documents that have their words against those that stand there
+    (without the document's own), both joined from the counts of the whole corpus, and the channel with the best path over the
+    document's chunks is taken, if it gains anything.
+    """
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
+    corpus = spooled(corpus_words(docs))
+    size = max(docs.count(), 1)
+    read = spooled(hypotheses(docs))
+    sides = read.select("doc_id", "channel", "chunk", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("old_words").alias("w")), F.struct(F.lit(1).alias("side"), F.col("new_words").alias("w")))).alias("s"))
+    asked = sides.select("doc_id", "channel", "chunk", "s.side", F.explode("s.w").alias("word"))
+    # Frequent words are asked for in every document: counts per document and side come before the shuffle.
+    known = asked.join(corpus, "word", "left")
+    own = F.when(F.col("side") < 0, F.greatest(F.col("n") - 1, F.lit(0))).otherwise(F.col("n"))
+    weight = F.ln((F.coalesce(own, F.lit(0)) + UNKNOWN) / float(size))
+    gains = known.groupBy("doc_id", "channel", "chunk").agg(F.sum(F.col("side") * weight).alias("gain"))
+    parts = read.select("doc_id", "channel", "chunk", "new", "fewer").join(gains, ["doc_id", "channel", "chunk"], "left")
+    paths = parts.groupBy("doc_id", "channel").agg(F.array_sort(F.collect_list(F.struct("chunk", (F.coalesce("gain", F.lit(0.0)) + FEWER * F.col("fewer")).alias("gain"), "new"))).alias("parts"))
+
+    @F.pandas_udf("struct<total:double, back:array<boolean>>")
+    def walk(parts: pd.Series) -> pd.DataFrame:
+        rows = [best_stretches([x["gain"] for x in p]) for p in parts]
+        return pd.DataFrame(rows, columns=["total", "back"])
+
+    walked = paths.withColumn("w", walk(F.transform("parts", lambda x: F.struct(x["gain"].alias("gain"))))).where("w.total > 0")
+    best = walked.groupBy("doc_id").agg(F.max_by(F.struct("channel", "parts", F.col("w.back").alias("back")), F.struct("w.total", "channel")).alias("b"))
+    chosen = best.select("doc_id", "b.channel", F.map_from_entries(F.transform(F.filter(F.arrays_zip("b.parts", "b.back"), lambda x: x["back"]), lambda x: F.struct(x["parts"]["chunk"], x["parts"]["new"]))).alias("made"))
+
+    @F.pandas_udf("string")
+    def rebuilt(texts: pd.Series, made: pd.Series) -> pd.Series:
+        out = []
+        for text, new in zip(texts, made):
+            new, i = dict(new) if new is not None else {}, itertools.count()
+            out.append(CHUNK.sub(lambda m: new.get(next(i), m[0]), text))
+        return pd.Series(out)
+
+    # Only damaged documents go to Python again.
+    damaged = docs.join(chosen, "doc_id", "left").where(F.col("channel").isNotNull() | F.col("text").contains(LOST))
+    fixed = damaged.select("doc_id", F.coalesce("channel", F.lit("")).alias("channel"), rebuilt("text", "made").alias("text"))
+    return fixed.withColumn("lost", F.col("text").contains(LOST))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenfield.functions.addresses import host_of, mail_host_of
+from wrenfield.llm.garbled import restored
 from wrenfield.llm.graph import components
 from wrenfield.llm.matching import calibration, candidates, matched
 from wrenfield.llm.mixing import mix_report, mixed, packed_blocks
@@ -149,9 +150,19 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mixed(blocks, targets), blocks, targets)
 
 
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, channel, lost, text) of garbled documents, with the best guess where characters were lost."""
+    return restored(table(spark, sf_dir, "documents")).select("doc_id", "channel", "lost", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = restored(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.when(F.col("lost"), "").otherwise(F.md5(F.encode("text", "UTF-8"))).alias("restored_md5"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_groups": p7_groups,
-    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
 ORACLES = {"p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"}
