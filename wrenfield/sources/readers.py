@@ -25,7 +25,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def read_commented_json(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of a JSON object, without its comment keys, which begin with ``//``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
     return pairs.where(~F.col("key").startswith("//"))
 
