@@ -26,9 +26,9 @@ _SIGNS = re.compile(r"[A-Za-z][³¹œ¿æ¶±¼Ÿ¾»£¥]|[³¹œ¿¶±¼Ÿ¾»
 WRITTEN_IN = {"cp1251": _DENSE, "koi8_r": _DENSE, "cp1256": _DENSE, "gbk": _DENSE, "big5": _DENSE, "shift_jis": _DENSE, "euc_kr": _DENSE, "cp1250": _SIGNS, "iso8859_2": _SIGNS}
 #: (name, encoding it was read as, encoding it was written in, times).
 CHANNELS = [(f"utf-8 as {w}" + " twice" * (n - 1), w, "utf-8", n) for w in READ_AS for n in (1, 2)] + [(f"{r} as cp1252", "cp1252", r, 1) for r in WRITTEN_IN]
-#: Log odds: for each character that reading back saves, as chance rarely makes whole UTF-8; that a stretch begins or ends.
-#: UNKNOWN is the count of words that the corpus doesn't have.
-FEWER, SWITCH, UNKNOWN = 2.0, 3.0, 0.05
+#: Log odds: for each character that reading back saves, as chance rarely makes whole UTF-8; against the beginning of a
+#: stretch; against a one-byte reading without a known word. UNKNOWN is the count of words that the corpus doesn't have.
+FEWER, SWITCH, UNTOLD, UNKNOWN = 2.0, 3.0, 12.0, 0.05
 #: Runs of characters that a wrong reading may have made; a run of one can't be bytes of UTF-8.
 RUN = re.compile("[^\x00-\x7f]+")
 TWO = re.compile("[^\x00-\x7f]{2}")
@@ -238,7 +238,11 @@ def restored(documents: DataFrame) -> DataFrame:
     known = asked.join(corpus, "word", "left")
     own = F.when(F.col("side") < 0, F.greatest(F.col("n") - 1, F.lit(0))).otherwise(F.col("n"))
     weight = F.ln((F.coalesce(own, F.lit(0)) + UNKNOWN) / float(size))
-    gains = known.groupBy("doc_id", "channel", "chunk").agg(F.sum(F.col("side") * weight).alias("gain"))
+    # One-byte readings fit any text, so they need a word that the corpus knows in each chunk.
+    told = F.max((F.col("side") > 0) & ~F.startswith("word", F.lit(SIGN)) & (F.coalesce(own, F.lit(0)) > 0))
+    gains = known.groupBy("doc_id", "channel", "chunk").agg(
+        (F.sum(F.col("side") * weight) - F.when(F.col("channel").startswith("utf-8") | F.coalesce(told, F.lit(False)), 0.0).otherwise(UNTOLD)).alias("gain")
+    )
     parts = read.select("doc_id", "channel", "chunk", "new", "fewer").join(gains, ["doc_id", "channel", "chunk"], "left")
     paths = parts.groupBy("doc_id", "channel").agg(F.array_sort(F.collect_list(F.struct("chunk", (F.coalesce("gain", F.lit(0.0)) + FEWER * F.col("fewer")).alias("gain"), "new"))).alias("parts"))
 
