@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wrenfield.session import spooled
+
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
 
@@ -139,7 +141,8 @@ def set_hashes(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
 
 def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, band_rows: int) -> DataFrame:
     """(id, class, keys, words): the hash of each record's shingle set, its band keys and its normal words. Records that
-    repeat a set already seen by the same task have null keys and words, so copies cost next to nothing later."""
+    repeat a set already seen by the same task have null keys and words, so copies cost next to nothing later. Texts without
+    a word, null ones too, have class 0 and are like nothing; records without an id are left out."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -169,16 +172,27 @@ def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, ba
     return read.mapInArrow(sign, "id string, class bigint, keys array<bigint>, words string")
 
 
-def class_pairs(records: DataFrame, *, words: int, threshold: float) -> DataFrame:
+def kept_by_bitmap(rows: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
+    """``rows`` (with ``class``) of which the class may be in ``wanted``: a bitmap of 2^bits places, so at most 2^(bits - 6)
+    rows of 16 bytes (1 MB), is broadcast whatever the data; false ones stay and are left to the joins that follow."""
+    place = F.col("class").bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.join(F.broadcast(bitmap), word == F.col("_word")).where(bit.bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bits")
+
+
+def class_pairs(records: DataFrame, *, words: int, threshold: float, shared: int = 1) -> DataFrame:
     """(a, b, similarity), a < b: pairs of classes of ``signed`` records whose shingle sets are at least ``threshold`` alike.
 
-    Candidates share a band; each pair is verified once, on its whole sets.
+    Candidates share at least ``shared`` bands; each pair is verified once, on its whole sets.
     """
     own = records.where("keys is not null")
     bands = own.select("class", F.explode("keys").alias("key"))
     left, right = bands.select(F.col("class").alias("a"), "key"), bands.select(F.col("class").alias("b"), "key")
-    pairs = left.join(right.hint("shuffle_hash"), "key").where("a < b").select("a", "b").distinct()
-    texts = own.select("class", "words")
+    met = left.join(right.hint("shuffle_hash"), "key").where("a < b").select("a", "b", "key")
+    # The same set signed by two tasks meets itself twice in a band; that only makes it a candidate sooner.
+    pairs = spooled(met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b"))
+    texts = kept_by_bitmap(own.select("class", "words"), pairs.select(F.explode(F.array("a", "b")).alias("class")))
     with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a")
     both = with_a.join(texts.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
 

@@ -93,8 +93,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_matches(spark, sf_dir).select("job_id", "school_key")
 
 
-#: Sets of three consecutive words are alike from 0.6 on; 40 bands of 4 miss a pair of just that likeness once in 250 times.
-P7 = {"words": 3, "threshold": 0.6, "bands": 40, "band_rows": 4}
+#: Sets of three consecutive words are alike from 0.6 on. Candidates share two of 50 bands of 4: of pairs just that alike one
+#: in 120 is missed, of those 0.65 alike one in 1,500, while chance rarely puts two texts into one band twice.
+P7 = {"words": 3, "threshold": 0.6, "bands": 50, "band_rows": 4, "shared": 2}
 
 
 def p7_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ def p7_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = p7_signed(spark, sf_dir)
-    pairs = class_pairs(records, words=P7["words"], threshold=P7["threshold"]).select("a", "b")
+    pairs = class_pairs(records, words=P7["words"], threshold=P7["threshold"], shared=P7["shared"]).select("a", "b")
     members = records.where("class <> 0").select("id", "class").distinct()
     x, y = members.select(F.col("id").alias("x"), F.col("class").alias("a")), members.select(F.col("id").alias("y"), F.col("class").alias("b"))
     unlike = pairs.join(x, "a").join(y, "b").select("x", "y")
@@ -118,7 +119,7 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, class, group, links): one row per advert with its set's class, the group of near-duplicates of that class and
     the number of other classes it is linked to. Copies aren't expanded into pairs."""
     records = p7_signed(spark, sf_dir)
-    pairs = spooled(class_pairs(records, words=P7["words"], threshold=P7["threshold"]))
+    pairs = spooled(class_pairs(records, words=P7["words"], threshold=P7["threshold"], shared=P7["shared"]))
     roots = components(pairs).select(F.col("node").alias("class"), F.col("root").alias("group"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     members = records.select("id", "class").distinct()
