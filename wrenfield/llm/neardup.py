@@ -24,6 +24,16 @@ def normal_words(*texts: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *texts)), r"[^\p{L}\p{N}]+", " "))
 
 
+#: Rows that Python works on at once: an Arrow batch has ten times as many, and each word of a text takes about 200 bytes.
+SLICE = 1024
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.take(pa.array(np.arange(start, min(start + SLICE, batch.num_rows))))  # a copy of its own
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """The finisher of splitmix64."""
     with np.errstate(over="ignore"):
@@ -146,7 +156,7 @@ def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, ba
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             n, texts = batch.num_rows, batch.column("words")
             owner, h = shingle_sets(texts, words)
             hashes = set_hashes(owner, h, n)
@@ -197,7 +207,7 @@ def class_pairs(records: DataFrame, *, words: int, threshold: float, shared: int
     both = with_a.join(texts.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n = batch.num_rows
             owner, h = shingle_sets(pa.concat_arrays([batch.column("wa"), batch.column("wb")]), words)
             size = np.bincount(owner, minlength=2 * n)
