@@ -50,13 +50,16 @@ def candidates(adverts: DataFrame, entities: DataFrame) -> DataFrame:
 
     ``adverts``: id, kinds, proper, country, place, domains. ``entities``: rows of key, kind, proper, country, place, domain
     (each may be null; several rows a key). An advert meets schools by close names of one kind and by a web or mail domain
-    that belongs to one school only; one that names a school isn't met by domain alone if the kinds differ. The score is
-    the weighted mean of the fields that both sides have: Dice of the names, and equality of the rest.
+    that belongs to one school only; one that names a school isn't met by domain alone if the kinds differ. Close names are
+    checked by edit distance, and by country and place where they differ at all. The score is the weighted mean of the fields that both sides have: Dice of the names, and equality of the rest.
     """
     named = adverts.where("proper <> ''").select("id", F.explode("kinds").alias("kind"), "proper")
     names = entities.where("proper <> ''").select("key", "kind", F.col("proper").alias("other")).distinct()
     close = hamming_pairs(named, names.select("kind", F.col("other").alias("proper")))
-    by_name = named.join(close, ["kind", "proper"]).join(names, ["kind", "other"]).groupBy("id", "key").agg(F.max("dice").alias("name"))
+    # Close vectors may belong to other names: two edits, or a cut end, are what one name may differ by.
+    apart = F.levenshtein("proper", "other", 2)
+    close = close.withColumn("edits", F.when(apart >= 0, apart).when((F.length("proper") >= 4) & F.startswith("other", "proper"), 2)).where("edits is not null")
+    by_name = named.join(close, ["kind", "proper"]).join(names, ["kind", "other"]).groupBy("id", "key").agg(F.max("dice").alias("name"), F.min("edits").alias("edits"))
     owners = entities.where("domain is not null").select("domain", "key").distinct()
     owned = owners.groupBy("domain").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").select("domain", "key")
     by_domain = adverts.select("id", "kinds", "proper", F.explode("domains").alias("domain")).join(owned, "domain").select("id", "key", "kinds", "proper").distinct()
@@ -72,6 +75,9 @@ def candidates(adverts: DataFrame, entities: DataFrame) -> DataFrame:
         "country": inside("country", "countries"),
         "place": inside("place", "places"),
     }
+    # A name that isn't spelled the same belongs to the school only if country and place don't speak against it.
+    agrees = lambda v, s: F.col(v).isNull() | (F.size(s) == 0) | F.array_contains(s, F.col(v))
+    both = both.where(F.col("domain").isNotNull() | (F.col("edits") == 0) | (agrees("country", "countries") & agrees("place", "places")))
     total = sum(F.when(s.isNotNull(), w[k]).otherwise(0.0) for k, s in sims.items())
     return both.select("id", "key", (sum(F.coalesce(s * w[k], F.lit(0.0)) for k, s in sims.items()) / total).alias("score"))
 
