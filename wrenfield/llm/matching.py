@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wrenfield.functions.steps import fenced
+
 #: Two spelling errors in a name change at most so many bits of 64.
 RADIUS = 8
 #: Weights of the fields in the score.
@@ -38,9 +40,8 @@ def hamming_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> Da
     spread = lambda df: df.select("kind", "proper", "vector", F.explode(vector_chunks(F.col("vector"), radius)).alias("c")).select("kind", "proper", "vector", "c.*")
     probes, index = spread(a), spread(b).withColumnsRenamed({"proper": "other", "vector": "own"})
     close = probes.join(index, ["kind", "chunk", "bits"]).where(F.bit_count(F.col("vector").bitwiseXOR(F.col("own"))) <= radius)
-    # Each pair comes out once: of its first common chunk.
-    first = F.array_min(F.transform(F.filter(F.arrays_zip(vector_chunks(F.col("vector"), radius), vector_chunks(F.col("own"), radius)), lambda x: x["0"]["bits"] == x["1"]["bits"]), lambda x: x["0"]["chunk"]))
-    pairs = close.where(F.col("chunk") == first).select("kind", "proper", "other")
+    # Fenced, so that what is asked of a pair later isn't computed for all that share a chunk.
+    pairs = fenced(close.select("kind", "proper", "other").distinct())
     x, y = qgrams(F.col("proper")), qgrams(F.col("other"))
     return pairs.withColumn("dice", 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
