@@ -62,7 +62,7 @@ CURRENCY = _either([*CURRENCY_NAMES, *(c.lower() for c in CURRENCY_CODES.split()
 SUFFIX = _either(list(MULTIPLIERS))
 #: currency, figure, multiplier, currency, then perhaps the same again, then the period.
 PAY = (
-    rf"(?is)^(.*?)(?:(?<![\p{{L}}])({CURRENCY})\s?)?(?<![\d.,])({NUMBER})\s?({SUFFIX})?\s?({CURRENCY})?"
+    rf"(?is)^(.*?)(?:(?<![\p{{L}}])({CURRENCY})\s?)?(?<!\d)(?<!\d[.,])({NUMBER})\s?({SUFFIX})?\s?({CURRENCY})?"
     rf"(?:\s?(?:-|–|—|to|bis)\s?({CURRENCY})?\s?({NUMBER})\s?({SUFFIX})?\s?({CURRENCY})?)?\s?({PERIOD}).*$"
 )
 #: Sums in words that are no pay.
