@@ -77,7 +77,7 @@ def enrichment_queue(spark, sf_dir):
     hiring = js.join(s, "school_key", "left").where(F.col("enriched_at").isNull() | stale).select("school_key", F.lit(0).alias("tier"), "score")
     other = s.where(stale).join(js, "school_key", "left_anti").select("school_key", F.lit(1).alias("tier"), F.lit(0).alias("score"))
     batch = hiring.unionByName(other).orderBy("tier", F.col("score").desc_nulls_last(), "school_key").limit(500)
-    return batch.withColumn("place", F.row_number().over(Window.orderBy("tier", F.col("score").desc_nulls_last(), "school_key")))
+    return batch.withColumn("place", F.row_number().over(Window.orderBy("tier", F.col("score").desc_nulls_last(), "school_key")).cast("bigint"))
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS hiring FROM customer")
@@ -198,7 +198,7 @@ def common_value(spark, sf_dir):
 def rank_share(spark, sf_dir):
     w = Window.partitionBy("s_nationkey")
     r = table(spark, sf_dir, "supplier").withColumn("rank", F.row_number().over(w.orderBy(F.col("s_acctbal").desc(), "s_suppkey"))).withColumn("n", F.count("*").over(w))
-    return r.select("s_nationkey", "s_suppkey", F.col("rank"), F.round(F.col("rank") / F.col("n"), 6).alias("share"), (F.col("rank") == 1).alias("first"))
+    return r.select("s_nationkey", "s_suppkey", F.col("rank").cast("bigint").alias("rank"), F.round(F.col("rank") / F.col("n"), 6).alias("share"), (F.col("rank") == 1).alias("first"))
 
 
 @query("""WITH a AS (SELECT school_key, lower(trim(unnest([school_email, career_email]))) AS address, unnest([1, 0]) AS tier, prominence FROM schools)
@@ -316,7 +316,7 @@ def share_gated_flag(spark, sf_dir):
     return fresh.select("event_id", (F.col("fresh") & shown).alias("badge"))
 
 
-@query("SELECT source, to_json(struct_pack(total := count(*), pe := count(*) FILTER (is_pe))) AS stats FROM jobs GROUP BY 1")
+@query("SELECT source, to_json(struct_pack(total := count(*), pe := count(*) FILTER (is_pe)))::VARCHAR AS stats FROM jobs GROUP BY 1")
 def run_summary(spark, sf_dir):
     return table(spark, sf_dir, "jobs").groupBy("source").agg(F.to_json(F.struct(F.count("*").alias("total"), F.count_if("is_pe").alias("pe"))).alias("stats"))
 
