@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from wrenfield.operators import keyed, state
-from wrenfield.operators.identity import collapsed_roles, entity_pairs, keyed_entities, role_signature
+from wrenfield.operators.identity import collapsed_roles, entity_pairs, keyed_entities, role_audience, role_signature
 from wrenfield.operators.rules import Term, hits, relevance
 
 
@@ -115,6 +115,26 @@ def test_role_collapse_is_greedy(spark):
     assert tuple(sig) == ("coach", "swimming", True, "any")
 
 
+def test_role_signature_reads_all_that_sets_openings_apart(spark):
+    want = {
+        "Trampolining Coach": ("coach", "gymnastics", False, "any", "open"), "Head of Water Polo": ("head", "swimming", False, "any", "open"), "Soccer Coach (Boys)": ("coach", "football", False, "any", "male"),
+        "Girls PE Teacher": ("teacher", "pe", False, "any", "female"), "PE Teacher (M)": ("teacher", "pe", False, "any", "male"), "Karate Instructor, parental leave": ("teacher", "martial", True, "any", "open"),
+        "PE Teacher - Head of Primary": ("teacher", "pe", False, "primary", "open"), "PE Teacher and Head of PE": ("head", "pe", False, "any", "open"), "Teacher, Director of Sport": ("director", "pe", False, "any", "open"),
+        "Assistant Team Leader": ("support", "pe", False, "any", "open"), "Lead PE Teacher": ("lead", "pe", False, "any", "open"), "PE TA, Lower School": ("support", "pe", False, "primary", "open"),
+        "Professor(a) de Educação Física - Educação Infantil": ("teacher", "pe", False, "early", "open"), "Professor de Educação Física, Ensino Médio": ("teacher", "pe", False, "secondary", "open"),
+        "PE Teacher, Grade 7": ("teacher", "pe", False, "secondary", "open"), "PE Teacher, Fund I": ("teacher", "pe", False, "primary", "open"), "Track and Field Coach": ("coach", "athletics", False, "any", "open"),
+    }
+    out = spark.createDataFrame([(t,) for t in want], "t string").select("t", role_signature(F.col("t")).alias("s"), role_audience(F.col("t")).alias("a"))
+    assert {r.t: (*r.s, r.a) for r in out.collect()} == want
+
+
+def test_role_collapse_keeps_audiences_and_sports_apart(spark):
+    titles = ["PE Coach", "Trampolining Coach", "Girls PE Coach", "Boys PE Coach", "Gymnastics Coach", "Female PE Coach"]
+    df = spark.createDataFrame([(str(i), "s", t, "x" * (900 - 100 * i)) for i, t in enumerate(titles)], "id string, school_key string, title string, description string")
+    df = df.selectExpr("*", "cast(null as string) deadline_at", "cast(null as string) application_url", "cast(null as string) my_status", "cast(null as timestamp) first_seen_at")
+    assert {r.id: r.seed for r in collapsed_roles(df).collect()} == {"0": "0", "1": "1", "2": "2", "3": "3", "4": "1", "5": "2"}
+
+
 def test_relevance(spark):
     core, veto = [Term("pe", "(?i)physical education", 55)], [Term("maths", "(?i)maths", 60)]
     df = spark.createDataFrame([(1, "Teacher of Physical Education", ""), (2, "Maths Teacher", "physical education helps"), (3, "Teacher", "maths"), (4, "", "")], "i int, t string, b string")
