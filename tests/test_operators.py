@@ -25,6 +25,26 @@ def test_sweep_is_two_steps_unless_compat(spark):
     assert run(True) == {"a": "closed", "b": "closed", "c": "open", "d": "open"}
 
 
+def test_sweep_leaves_sources_that_did_not_run(spark):
+    boards = spark.createDataFrame([("s",), ("moved",), ("failed",), ("mail",)], "source string")
+    delivered = spark.createDataFrame([("d", "s"), ("e", "failed"), ("f", "other")], "id string, source string")
+    failed = spark.createDataFrame([("failed",)], "source string")
+    names = lambda df: {r.source for r in df.collect()}
+    assert names(state.ran_sources(boards, delivered, "source")) == {"s", "failed"}
+    assert names(state.ran_sources(boards, delivered, "source", failed=failed, may_be_empty=["mail"])) == {"s", "mail"}
+
+
+def test_lifecycle_sweep_without_rows_of_a_source(spark, tmp_path):
+    from wrenfield.plans.stateful import QUERIES
+
+    at = datetime(2026, 1, 1)
+    rows = [(5, at, "a", "s", "open"), (5, at, "b", "s", "stale"), (6, at, "d", "s", "open"), (5, at, "c", "moved", "open"), (5, at, "e", "moved", "stale"), (5, at, "f", "loose", "open"), (6, at, "g", "loose", "open")]
+    spark.createDataFrame([(*r, None) for r in rows], "run_id bigint, delivered_at timestamp, job_id string, source string, status string, closed_at timestamp").write.parquet(f"{tmp_path}/job_snapshots.parquet")
+    spark.createDataFrame([("s", True), ("moved", True), ("loose", False)], "source string, enumerated boolean").write.parquet(f"{tmp_path}/boards.parquet")
+    out = {r.job_id: r.status for r in QUERIES["lifecycle_sweep"](spark, str(tmp_path)).collect()}
+    assert out == {"a": "stale", "b": "closed", "c": "open", "e": "stale", "f": "open"}
+
+
 def test_fold_against_plain_version(spark):
     rng, rows = random.Random(3), []
     for key in range(30):

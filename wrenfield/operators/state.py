@@ -36,10 +36,18 @@ def upserted(old: DataFrame, new: DataFrame, key: str, *, overwrite: list[str],
     return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *[rule(c).alias(c) for c in columns], change.alias("change"))
 
 
+def ran_sources(sources: DataFrame, delivered: DataFrame, source: str, *, failed: DataFrame | None = None, may_be_empty: list[str] = ()) -> DataFrame:
+    """Those of ``sources`` that a run may be swept by: not among the ``failed``, and with rows ``delivered`` in the run, as a
+    source that moved returns nothing without an error. Only sources of ``may_be_empty`` may deliver nothing."""
+    came = delivered.select(source).distinct().withColumn("_came", F.lit(True))
+    kept = sources if failed is None else sources.join(failed, source, "left_anti")
+    return kept.join(came, source, "left").where(F.col("_came").isNotNull() | F.col(source).isin(*may_be_empty)).drop("_came")
+
+
 def swept(state: DataFrame, seen: DataFrame, sources: DataFrame, key: str, source: str, at: Column, *, compat: bool = False) -> DataFrame:
     """``state`` after a run: rows of the enumerated ``sources`` that the run hasn't ``seen`` go from open to stale, and from
     stale to closed; ``closed_at`` is set on closing. Both steps read the status before the sweep; with ``compat`` a row that
-    just went stale closes at once. Sources that returned nothing must not be given."""
+    just went stale closes at once. Sources that failed or returned nothing must not be given (``ran_sources``)."""
     hit = seen.select(key).distinct().withColumn("_seen", F.lit(True))
     enumerated = sources.select(source).distinct().withColumn("_swept", F.lit(True))
     joined = state.join(hit, key, "left").join(enumerated, source, "left")
