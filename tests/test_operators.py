@@ -160,3 +160,15 @@ def test_relevance(spark):
     df = spark.createDataFrame([(1, "Teacher of Physical Education", ""), (2, "Maths Teacher", "physical education helps"), (3, "Teacher", "maths"), (4, "", "")], "i int, t string, b string")
     out = df.select("i", hits(core, F.col("t"), F.col("b")).alias("c"), hits([Term("sport", "(?i)sport", 20)], F.col("t"), F.col("b")).alias("s"), hits(veto, F.col("t"), F.col("b")).alias("v"))
     assert {r.i: r.x for r in out.select("i", relevance(F.col("c"), F.col("s"), F.col("v")).alias("x")).collect()} == {1: 55, 2: 0, 3: 0, 4: 0}
+
+
+def test_classifier_reads_the_whole_body(spark, tmp_path):
+    from wrenfield.plans.stateful import QUERIES
+
+    late = "x" * 7000 + " physical education"
+    rows = [("a", "Teacher", late), ("b", "Teacher of Physical Education", "x" * 7000 + " swimming"), ("c", "Teacher", None)]
+    df = spark.createDataFrame(rows, "id string, title string, description string")
+    df.selectExpr("*", "timestamp '2026-01-01' last_checked_at").write.parquet(f"{tmp_path}/jobs.parquet")
+    score = lambda **x: {r.id: r.score for r in QUERIES["classifier_score"](spark, str(tmp_path), **x).collect()}
+    assert score() == {"a": 14, "b": 61, "c": 0}
+    assert score(body_limit=6000) == {"a": 0, "b": 55, "c": 0}

@@ -164,10 +164,12 @@ def _oracle_hits(terms: list[Term]) -> str:
 @query(f"""WITH j AS (SELECT id, coalesce(title, '') AS title, substr(coalesce(description, ''), 1, 6000) AS body FROM {ONE_JOB}), h AS (SELECT id, {_oracle_hits(SUBJECT)} AS c, {_oracle_hits(SPORT)} AS s, {_oracle_hits(VETO)} AS v FROM j),
   b AS (SELECT id, c, s, v, coalesce(list_max(list_transform(c, lambda x: x.w)), 0) AS bc, coalesce(list_max(list_transform(s, lambda x: x.w)), 0) AS bs, coalesce(list_max(list_transform(v, lambda x: x.w)), 0) AS bv, len(list_filter(c, lambda x: x.t)) > 0 AS ct, len(list_filter(v, lambda x: x.t)) > 0 AS vt FROM h)
   SELECT id, greatest(0, least(100, floor(bc + bs * CASE WHEN len(c) > 0 THEN 0.35 ELSE 1 END + greatest(0, least(12, (len(c) + len(s) - 1) * 4)) - bv * CASE WHEN NOT ct AND vt THEN 1.0 WHEN len(c) = 0 THEN 0.6 ELSE 0.15 END + 0.5)))::INTEGER AS score FROM b""")
-def classifier_score(spark, sf_dir):
-    """Families of terms against title and body. The first 6,000 characters of the body are the rule's own bound."""
+def classifier_score(spark, sf_dir, body_limit: int | None = None):
+    """Families of terms against title and whole body, or its first ``body_limit`` characters. The SQL reads 6,000 of them, and
+    agrees where no body is longer."""
     j = one_job(spark, sf_dir, "title", "description")
-    t, b = F.coalesce("title", F.lit("")), F.substring(F.coalesce("description", F.lit("")), 1, 6000)
+    t, b = F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))
+    b = b if body_limit is None else F.substring(b, 1, body_limit)
     return j.select("id", hits(SUBJECT, t, b).alias("c"), hits(SPORT, t, b).alias("s"), hits(VETO, t, b).alias("v")).select("id", relevance(F.col("c"), F.col("s"), F.col("v")).alias("score"))
 
 
