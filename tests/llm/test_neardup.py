@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -5,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from wrenfield.llm.graph import components
-from wrenfield.llm.neardup import band_keys, class_pairs, normal_words, shingle_sets, signed, super_min_hash
+from wrenfield.llm.neardup import SKETCH, band_keys, class_pairs, most_alike, normal_words, shingle_sets, signed, sketches, super_min_hash
 from pyspark.sql import functions as F
 
 
@@ -69,6 +70,28 @@ def test_pairs_against_brute_force(spark):
     assert klass["short"] == klass["short2"] and klass["empty"] == klass["blank"] == klass["null"] == 0 and None not in klass
 
 
+def test_sketches_rule_out_no_pair(spark):
+    rng, rows, want = random.Random(5), [], []
+    for _ in range(200):
+        n = rng.choice([1, 5, 60, 200, 900])
+        a = [rng.getrandbits(63) for _ in range(n)]
+        b = rng.sample(a, rng.randrange(n + 1)) + [rng.getrandbits(63) for _ in range(rng.randrange(n + 1))] or [1]
+        size, bits = (len(a), len(b)), sketches(np.array([0] * len(a) + [1] * len(b)), np.array(a + b, dtype=np.uint64), 2).tolist()
+        want.append(len(set(a) & set(b)) / len(set(a) | set(b)))
+        rows.append((len(rows), size[0], *bits[0], size[1], *bits[1]))
+    names = ["i"] + [f"{x}_{c}" for x in "ab" for c in ["size", *[f"s{i}" for i in range(SKETCH)]]]
+    got = {r.i: r.m for r in spark.createDataFrame(rows, names).select("i", most_alike().alias("m")).collect()}
+    assert all(got[i] >= w - 1e-12 for i, w in enumerate(want)) and any(got[i] < 0.6 for i in got)
+
+
+def test_p7_misses_less_than_one_in_a_thousand():
+    from wrenfield.llm.queries import P7
+
+    p = P7["threshold"] ** P7["band_rows"]
+    few = sum(math.comb(P7["bands"], k) * p**k * (1 - p) ** (P7["bands"] - k) for k in range(P7["shared"]))
+    assert few < 0.001
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (20, 20), (7, 6), (6, 5), (4, 9), (None, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}

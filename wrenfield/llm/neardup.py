@@ -149,9 +149,28 @@ def set_hashes(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
         return np.where(total == 0, total, _mix(total))
 
 
+#: Words of 64 bits in a sketch.
+SKETCH = 8
+
+
+def sketches(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
+    """(sets x SKETCH): a bit for each place that a set's hashes fall on."""
+    bits = np.zeros((sets, 64 * SKETCH), dtype=bool)
+    bits[owner, (h & np.uint64(64 * SKETCH - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_alike() -> Column:
+    """What the similarity of sets ``a`` and ``b`` is at most, from a_size, a_s0, .. and b_size, b_s0, ..: each bit that only
+    one sketch has is at least one element that only this set has."""
+    alone = lambda x, y: sum(F.bit_count(F.col(f"{x}_s{i}").bitwiseAND(F.bitwise_not(f"{y}_s{i}"))) for i in range(SKETCH))
+    common = F.least(F.col("a_size") - alone("a", "b"), F.col("b_size") - alone("b", "a"))
+    return common / (F.col("a_size") + F.col("b_size") - common)
+
+
 def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, band_rows: int) -> DataFrame:
-    """(id, class, keys, words): the hash of each record's shingle set, its band keys and its normal words. Records that
-    repeat a set already seen by the same task have null keys and words, so copies cost next to nothing later. Texts without
+    """(id, class, keys, words, size, s0, ..): the hash of each record's shingle set, its band keys, its normal words, its
+    number of shingles and its sketch. Records that repeat a set already seen by the same task have nulls there, so copies cost next to nothing later. Texts without
     a word, null ones too, have class 0 and are like nothing; records without an id are left out."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,19 +186,23 @@ def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, ba
                     fresh[i] = True
             slot = np.cumsum(fresh) - 1
             mine = fresh[owner]
-            keys = band_keys(super_min_hash(slot[owner[mine]], h[mine], int(fresh.sum()), bands * band_rows), bands, band_rows)
+            count = int(fresh.sum())
+            keys = band_keys(super_min_hash(slot[owner[mine]], h[mine], count, bands * band_rows), bands, band_rows)
+            size, bits = np.bincount(owner, minlength=n).astype(np.int32), np.zeros((n, SKETCH), dtype=np.int64)
+            bits[fresh] = sketches(slot[owner[mine]], h[mine], count)
             ends = np.concatenate([[0], np.cumsum(np.where(fresh, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
             mask = pa.array(fresh)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(hashes.view(np.int64)), pa.compute.if_else(mask, lists, None), pa.compute.if_else(mask, texts, None)],
-                names=["id", "class", "keys", "words"],
+                [batch.column("id"), pa.array(hashes.view(np.int64)), pa.compute.if_else(mask, lists, None), pa.compute.if_else(mask, texts, None),
+                 pa.array(size, mask=~fresh), *[pa.array(bits[:, i], mask=~fresh) for i in range(SKETCH)]],
+                names=["id", "class", "keys", "words", "size", *[f"s{i}" for i in range(SKETCH)]],
             )
 
     import pyarrow.compute  # noqa: F401
 
     read = rows.where(F.col(id).isNotNull()).select(F.col(id).cast("string").alias("id"), text.alias("words")).where("words is not null")
-    return read.mapInArrow(sign, "id string, class bigint, keys array<bigint>, words string")
+    return read.mapInArrow(sign, "id string, class bigint, keys array<bigint>, words string, size int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH)))
 
 
 def kept_by_bitmap(rows: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
@@ -194,14 +217,18 @@ def kept_by_bitmap(rows: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFr
 def class_pairs(records: DataFrame, *, words: int, threshold: float, shared: int = 1) -> DataFrame:
     """(a, b, similarity), a < b: pairs of classes of ``signed`` records whose shingle sets are at least ``threshold`` alike.
 
-    Candidates share at least ``shared`` bands; each pair is verified once, on its whole sets.
+    Candidates share at least ``shared`` bands. Sketches rule out those that can't be alike enough, losing none; each other
+    pair is verified once, on its whole sets.
     """
     own = records.where("keys is not null")
     bands = own.select("class", F.explode("keys").alias("key"))
     left, right = bands.select(F.col("class").alias("a"), "key"), bands.select(F.col("class").alias("b"), "key")
-    met = left.join(right.hint("shuffle_hash"), "key").where("a < b").select("a", "b", "key")
+    met = left.join(right.hint("shuffle_hash"), "key").where("a < b").select("a", "b")
     # The same set signed by two tasks meets itself twice in a band; that only makes it a candidate sooner.
-    pairs = spooled(met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b"))
+    met = met.distinct() if shared == 1 else met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
+    drawn = own.select("class", "size", *[f"s{i}" for i in range(SKETCH)]).dropDuplicates(["class"])
+    side = lambda x: drawn.select(F.col("class").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in drawn.columns[1:]])
+    pairs = spooled(met.join(side("a"), "a").join(side("b"), "b").where(most_alike() >= threshold - 1e-12).select("a", "b"))
     texts = kept_by_bitmap(own.select("class", "words"), pairs.select(F.explode(F.array("a", "b")).alias("class")))
     with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a")
     both = with_a.join(texts.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
