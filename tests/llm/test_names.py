@@ -99,3 +99,11 @@ def test_matching(spark):
     confidences = calibration(scored, spark.createDataFrame([("1", "A")], "id string, key string"), bins=10)
     assert confidences == sorted(confidences) and len(confidences) == 10
     assert {(r.id, r.key) for r in matched(scored, confidences, least=0.0).collect()} == {("1", "A"), ("2", "A")}
+
+
+def test_names_without_a_kind_meet_schools_of_one_kind(spark):
+    schools = [("b", "british international", "bleveton"), ("c", "college", "zinurwoth"), ("d", "academy", "zinurwoth"), ("e", "high", "lesorban")]
+    entities = spark.createDataFrame([(*s, None, None, None) for s in schools], "key string, kind string, proper string, country string, place string, domain string")
+    names = [("1", [""], "bleveton"), ("2", [""], "zinurwoth"), ("3", [""], "lesorbam"), ("4", ["college"], "zinurwoth"), ("5", ["high"], "bleveton"), ("6", [""], "")]
+    adverts = spark.createDataFrame([(*n, None, None, []) for n in names], "id string, kinds array<string>, proper string, country string, place string, domains array<string>")
+    assert {(r.id, r.key) for r in candidates(adverts, entities).collect()} == {("1", "b"), ("3", "e"), ("4", "c")}

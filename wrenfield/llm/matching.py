@@ -46,16 +46,35 @@ def hamming_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> Da
     return pairs.withColumn("dice", 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 
+def with_only_kind(named: DataFrame, names: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``named`` (id, kind, proper) with kinds for names whose kind is missing or cut off: the one kind that ``names`` (kind,
+    proper) have with the same proper part or, if none has it, with those that it may be a misspelling or the beginning of.
+    Rows with kind '' stay too, to meet schools that have no kind either."""
+    typed = names.where("kind <> ''").select("kind", "proper").distinct()
+    bare = named.where("kind = ''").select("id", "proper")
+    probes = bare.select(F.lit("").alias("kind"), "proper").distinct()
+    # All kinds are met as one, so that chunks and bits alone decide.
+    met = hamming_pairs(probes, typed.select(F.lit("").alias("kind"), "proper"), radius).select("proper", "other")
+    apart = F.levenshtein("proper", "other", 2)
+    met = met.withColumn("edits", F.when(apart >= 0, apart).when((F.length("proper") >= 4) & F.startswith("other", "proper"), 2)).where("edits is not null")
+    least = met.groupBy("proper").agg(F.min(F.least("edits", F.lit(1))).alias("least"))
+    near = met.join(least, "proper").where(F.least("edits", F.lit(1)) == F.col("least")).select("proper", "other")
+    only = near.join(typed.withColumnRenamed("proper", "other"), "other").groupBy("proper").agg(F.count_distinct("kind").alias("n"), F.min("kind").alias("kind")).where("n = 1").select("proper", "kind")
+    return named.unionByName(bare.join(only, "proper").select("id", "kind", "proper"))
+
+
 def candidates(adverts: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, key, score): every school that an advert may belong to.
 
     ``adverts``: id, kinds, proper, country, place, domains. ``entities``: rows of key, kind, proper, country, place, domain
     (each may be null; several rows a key). An advert meets schools by close names of one kind and by a web or mail domain
-    that belongs to one school only; one that names a school isn't met by domain alone if the kinds differ. Close names are
+    that belongs to one school only; a name without a kind has that of the schools it is close to, if they have but one
+    (``with_only_kind``); one that names a school isn't met by domain alone if the kinds differ. Close names are
     checked by edit distance, and by country and place where they differ at all. The score is the weighted mean of the fields that both sides have: Dice of the names, and equality of the rest.
     """
     named = adverts.where("proper <> ''").select("id", F.explode("kinds").alias("kind"), "proper")
     names = entities.where("proper <> ''").select("key", "kind", F.col("proper").alias("other")).distinct()
+    named = with_only_kind(named, names.select("kind", F.col("other").alias("proper")))
     close = hamming_pairs(named, names.select("kind", F.col("other").alias("proper")))
     # Close vectors may belong to other names: two edits, or a cut end, are what one name may differ by.
     apart = F.levenshtein("proper", "other", 2)
