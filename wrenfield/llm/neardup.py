@@ -7,10 +7,12 @@ the rest of the permutation is never drawn. Signatures are cut into bands; sets
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,23 @@ def normal_words(*texts: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *texts)), r"[^\p{L}\p{N}]+", " "))
 
 
-#: Rows that Python works on at once: an Arrow batch has ten times as many, and each word of a text takes about 200 bytes.
-SLICE = 1024
+#: Rows, and bytes of text, that Python works on at once: each word of a text takes about 200 bytes.
+SLICE, SLICE_BYTES = 1024, 1 << 22
+#: Bits of a shingle's hash; with the number of its set before them it makes one whole number, which sorts fast.
+HASH_BITS = np.uint64(52)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "words") -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``SLICE`` rows and, but for single rows, ``SLICE_BYTES`` bytes of text."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.take(pa.array(np.arange(start, min(start + SLICE, batch.num_rows))))  # a copy of its own
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        upto = np.cumsum(size)
+        start = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(upto, upto[start] - size[start] + SLICE_BYTES, side="right"))
+            stop = min(max(stop, start + 1), start + SLICE, batch.num_rows)
+            yield batch.take(pa.array(np.arange(start, stop)))  # a copy of its own
+            start = stop
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,98 +70,103 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash), sorted and distinct: the hashed runs of ``words`` words of each normalised text. A text of fewer words
-    has its whole as its one shingle, an empty one has none. All texts are hashed at once, over their joined bytes."""
+    """(owner, hash), sorted and distinct: the hashed runs of ``words`` words of each normalised text, of which there are at
+    most 4,096. A text of fewer words has its whole as its one shingle, an empty one has none. All texts are hashed at once,
+    over their joined bytes."""
     texts = texts.cast(pa.large_string())
-    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=len(texts) + 1 + texts.offset)[texts.offset :]
     if len(texts) == 0 or offsets[-1] == offsets[0]:
-        return none
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=offsets[-1])[offsets[0] :]
     offsets = offsets - offsets[0]
     n = len(data)
     up, down = _powers(n + 1)
+    prefix = np.zeros(n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
     blank = np.flatnonzero(data == 32)
     lengths = np.diff(offsets)
     full = np.flatnonzero(lengths > 0)
     starts = np.sort(np.concatenate([offsets[full], blank + 1]))
     ends = np.sort(np.concatenate([offsets[full] + lengths[full], blank]))
-    owner = np.searchsorted(offsets[full], starts, side="right") - 1
-    count = np.bincount(owner, minlength=len(full))
+    count = np.diff(np.searchsorted(starts, np.append(offsets[full], n + 1)))
+    owner = np.repeat(np.arange(len(full)), count)
     first = np.cumsum(count) - count
     last = first + count - 1
     at = np.arange(len(starts))
-    keep = at + words - 1 <= np.maximum(last[owner], first[owner] + words - 1)
-    keep &= (at == first[owner]) | (at + words - 1 <= last[owner])
+    keep = (at == first[owner]) | (at + words - 1 <= last[owner])
     at, owner = at[keep], owner[keep]
     stop = ends[np.minimum(at + words - 1, last[owner])]
     begin = starts[at]
     with np.errstate(over="ignore"):
         h = _mix((prefix[stop] - prefix[begin]) * down[begin] + (stop - begin).astype(np.uint64))
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return full[owner[new]], h[new]
+    both = np.sort((full[owner].astype(np.uint64) << HASH_BITS) | (h >> (np.uint64(64) - HASH_BITS)))
+    both = both[np.append(True, both[1:] != both[:-1])]
+    return (both >> HASH_BITS).astype(np.int64), both & ((np.uint64(1) << HASH_BITS) - np.uint64(1))
 
 
 def super_min_hash(owner: np.ndarray, h: np.ndarray, sets: int, slots: int) -> np.ndarray:
     """Signatures (sets x slots) of sets given as sorted (owner, hash). Empty sets keep the largest value everywhere.
 
-    Level j holds the j-th place of every element's permutation; what a level can fill is never beaten by a later one, so
-    sets that are full drop out and their elements' permutations are drawn no further.
+    Level j gives every element the j-th slot of its own permutation: two affine maps whose numbers come from its hash, with
+    the digits of a slot turned about in between. What a level can fill is never beaten by a later one, so slots that are
+    full are passed over, and elements of full sets are drawn no further.
     """
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(sets * slots, full, dtype=np.uint64)
-    open_ = np.bincount(owner, minlength=sets) > 0
-    left = np.where(open_, slots, 0)
-    swaps: list[tuple[np.ndarray, np.ndarray]] = []  # of each level: the place that was drawn and what was moved there
+    taken = np.zeros(sets * slots, dtype=bool)
+    if len(owner) == 0:
+        return sig.reshape(sets, slots)
+    units = np.array([a for a in range(1, slots + 1) if math.gcd(a, slots) == 1], dtype=np.uint32)
+    low = max(d for d in range(1, math.isqrt(slots) + 1) if slots % d == 0)
+    turned = np.array([(x % low) * (slots // low) + x // low for x in range(slots)], dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        r, q = _mix(h ^ np.uint64(_BASE)), _mix(h + _M1)
+    part = lambda x, shift, n: ((x >> np.uint64(shift)) & np.uint64(0xFFFFFF)).astype(np.uint32) % np.uint32(n)
+    a, x, c, d = units[part(r, 0, len(units))], part(r, 24, slots), units[part(q, 0, len(units))], part(q, 24, slots)
+    base, size = owner * slots, np.uint32(slots)
     for j in range(slots):
-        live = left[owner] > 0
-        if not live.all():
-            owner, h = owner[live], h[live]
-            swaps = [(k[live], v[live]) for k, v in swaps]
-        if len(owner) == 0:
-            break
+        y = c * turned[x] + d
+        cell = base + (y - y // size * size)
+        free = np.flatnonzero(~taken[cell])
+        cell = cell[free]
         with np.errstate(over="ignore"):
-            r = _mix(h + np.uint64(_BASE) * np.uint64(2 * j + 1))
-        k = j + ((r >> np.uint64(40)).astype(np.int64) * (slots - j) >> 24)
-        drawn, here = k.copy(), np.full(len(k), j, dtype=np.int64)
-        for place, moved in swaps:  # a Fisher-Yates shuffle that remembers only what it moved
-            drawn = np.where(k == place, moved, drawn)
-            here = np.where(place == j, moved, here)
-        swaps.append((k, here))
-        rank = (np.uint64(j) << np.uint64(40)) | (r & np.uint64(0xFFFFFFFFFF))
-        cell = owner * slots + drawn
-        free = sig[cell] >= (np.uint64(j) << np.uint64(40))
-        np.minimum.at(sig, cell[free], rank[free])
-        left = (sig.reshape(sets, slots) == full).sum(axis=1) * (left > 0)
+            rank = (np.uint64(j) << np.uint64(40)) | ((h[free] * np.uint64((_BASE * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(24))
+        np.minimum.at(sig, cell, rank)
+        taken[cell] = True
+        x = x + a
+        x -= size * (x >= size)
+        if j % 4 == 3:
+            live = ~taken.reshape(sets, slots).all(axis=1)[owner]
+            if not live.any():
+                break
+            if not live.all():
+                owner, h, a, x, c, d, base = (v[live] for v in (owner, h, a, x, c, d, base))
     return sig.reshape(sets, slots)
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One hash a band of a signature."""
+    """One hash a band of a signature, of ``HASH_BITS`` bits."""
     cut = sig[:, : bands * rows].reshape(len(sig), bands, rows)
     with np.errstate(over="ignore"):
         key = np.zeros(cut.shape[:2], dtype=np.uint64)
         for r in range(rows):
             key = _mix(key * np.uint64(_BASE) + cut[:, :, r])
-        return _mix(key + (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+        return _mix(key + (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE)) >> (np.uint64(64) - HASH_BITS)
 
 
 def set_hashes(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
-    """An order-free hash of each set; 0 for the empty one."""
+    """An order-free hash of each set; 0 for the empty one. Of n sets two have one hash with a chance of n^2 / 2^65."""
     total = np.zeros(sets, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        np.add.at(total, owner, _mix(h + np.uint64(1)))
-        return np.where(total == 0, total, _mix(total))
+    if len(owner):
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        with np.errstate(over="ignore"):
+            total[owner[first]] = np.add.reduceat(_mix(h + np.uint64(1)), first)
+    return np.where(total == 0, total, _mix(total))
 
 
 #: Words of 64 bits in a sketch.
-SKETCH = 8
+SKETCH = 4
 
 
 def sketches(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
@@ -168,10 +184,20 @@ def most_alike() -> Column:
     return common / (F.col("a_size") + F.col("b_size") - common)
 
 
-def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, band_rows: int) -> DataFrame:
-    """(id, class, keys, words, size, s0, ..): the hash of each record's shingle set, its band keys, its normal words, its
-    number of shingles and its sketch. Records that repeat a set already seen by the same task have nulls there, so copies cost next to nothing later. Texts without
-    a word, null ones too, have class 0 and are like nothing; records without an id are left out."""
+_DRAWN = "size int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
+#: Sets that a task remembers as signed; beyond it begins anew, and some copies are signed once more.
+REMEMBERED = 200_000
+#: Classes of one band key that meet in one place; larger groups are met block by block.
+BLOCK = 512
+
+
+def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, band_rows: int, partitions: int) -> DataFrame:
+    """Two kinds of rows. Of each record: id, class (the hash of its shingle set) and, but for copies that the same task has
+    met before, the size and sketch of the set. Of each slice of records and ``bucket``: the classes signed there, and as
+    ``entries`` the band keys that fall into the bucket, each before the place of its class.
+
+    Texts without a word, null ones too, have class 0 and are like nothing; records without an id are left out.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -180,6 +206,8 @@ def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, ba
             owner, h = shingle_sets(texts, words)
             hashes = set_hashes(owner, h, n)
             fresh = np.zeros(n, dtype=bool)
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for i, c in enumerate(hashes.tolist()):
                 if c and c not in seen:
                     seen.add(c)
@@ -187,68 +215,159 @@ def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, ba
             slot = np.cumsum(fresh) - 1
             mine = fresh[owner]
             count = int(fresh.sum())
-            keys = band_keys(super_min_hash(slot[owner[mine]], h[mine], count, bands * band_rows), bands, band_rows)
+            new_owner, new_h = slot[owner[mine]], h[mine]
+            keys = band_keys(super_min_hash(new_owner, new_h, count, bands * band_rows), bands, band_rows).ravel()
             size, bits = np.bincount(owner, minlength=n).astype(np.int32), np.zeros((n, SKETCH), dtype=np.int64)
-            bits[fresh] = sketches(slot[owner[mine]], h[mine], count)
-            ends = np.concatenate([[0], np.cumsum(np.where(fresh, bands, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            mask = pa.array(fresh)
+            bits[fresh] = sketches(new_owner, new_h, count)
+            spread = (hashes % np.uint64(partitions)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(hashes.view(np.int64)), pa.compute.if_else(mask, lists, None), pa.compute.if_else(mask, texts, None),
-                 pa.array(size, mask=~fresh), *[pa.array(bits[:, i], mask=~fresh) for i in range(SKETCH)]],
-                names=["id", "class", "keys", "words", "size", *[f"s{i}" for i in range(SKETCH)]],
+                [pa.array(spread), batch.column("id"), pa.array(hashes.view(np.int64)), pa.array(size, mask=~fresh), *[pa.array(bits[:, i], mask=~fresh) for i in range(SKETCH)], pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                schema=kinds,
+            )
+            place = np.repeat(np.arange(count, dtype=np.uint64), bands)
+            bucket = (keys % np.uint64(partitions)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, keys, place = bucket[order], keys[order], place[order]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
+            own, tables, entries = hashes[fresh], [], []
+            for lo, hi in zip(first, [*first[1:], len(bucket)]):
+                here, at = np.unique(place[lo:hi], return_inverse=True)
+                tables.append(own[here.astype(np.int64)].tobytes())
+                entries.append(((keys[lo:hi] << np.uint64(12)) | at.astype(np.uint64)).tobytes())
+            m = len(first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[first]), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64()) for _ in range(SKETCH)], pa.array(tables, pa.binary()), pa.array(entries, pa.binary())],
+                schema=kinds,
             )
 
-    import pyarrow.compute  # noqa: F401
-
+    kinds = pa.schema([("bucket", pa.int32()), ("id", pa.string()), ("class", pa.int64()), ("size", pa.int32()), *[(f"s{i}", pa.int64()) for i in range(SKETCH)], ("classes", pa.binary()), ("entries", pa.binary())])
     read = rows.where(F.col(id).isNotNull()).select(F.col(id).cast("string").alias("id"), text.alias("words")).where("words is not null")
-    return read.mapInArrow(sign, "id string, class bigint, keys array<bigint>, words string, size int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH)))
-
-
-def kept_by_bitmap(rows: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
-    """``rows`` (with ``class``) of which the class may be in ``wanted``: a bitmap of 2^bits places, so at most 2^(bits - 6)
-    rows of 16 bytes (1 MB), is broadcast whatever the data; false ones stay and are left to the joins that follow."""
-    place = F.col("class").bitwiseAND(F.lit((1 << bits) - 1))
+    return read.mapInArrow(sign, f"bucket int, id string, class bigint, {_DRAWN}, classes binary, entries binary")
+
+
+def _pairs_of(key: np.ndarray, classes: np.ndarray) -> Iterator[tuple[str, np.ndarray | list, np.ndarray | list]]:
+    """("pairs", a, b): classes that share a key, a < b, once a call as far as they come at once; ("blocks", left, right):
+    lists of classes that are to be met all with all, for keys of more than ``BLOCK`` classes."""
+    order = np.argsort(key)
+    key, classes = key[order], classes[order]
+    new = np.append(True, key[1:] != key[:-1])
+    group = np.cumsum(new) - 1
+    shared = (np.bincount(group) > 1)[group]
+    group, classes = group[shared], classes[shared]
+    order = np.lexsort((classes, group))
+    group, classes = group[order], classes[order]
+    one = np.append(True, (group[1:] != group[:-1]) | (classes[1:] != classes[:-1]))[: len(group)]
+    group, classes = group[one], classes[one]
+    size = np.bincount(group) if len(group) else np.zeros(0, dtype=np.int64)
+    big = np.flatnonzero(size > BLOCK)
+    for g in big:
+        lo, hi = np.searchsorted(group, [g, g + 1])
+        chunks = [classes[i : min(i + BLOCK, hi)] for i in range(lo, hi, BLOCK)]
+        for i, left in enumerate(chunks):
+            yield "blocks", [left] * (len(chunks) - i), chunks[i:]
+    small = (size <= BLOCK)[group] if len(group) else np.zeros(0, dtype=bool)
+    group, classes = group[small], classes[small]
+    a, b, held, at, d = [], [], 0, np.arange(len(group)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(group)]
+        at = at[group[at] == group[at + d]]
+        a.append(classes[at])
+        b.append(classes[at + d])
+        held += len(at)
+        if held > 2_000_000 or not len(at):
+            x, y = np.concatenate(a), np.concatenate(b)
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            one = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+            yield "pairs", x[one], y[one]
+            a, b, held = [], [], 0
+
+
+def met(sign: DataFrame, partitions: int) -> DataFrame:
+    """(id, class, size, sketch, a, b, left, right): the records of ``signed``, and pairs of classes that share a band.
+
+    The entries of a bucket come together in one task, 8 bytes a band and class; ``partitions`` is to be so large that a
+    bucket takes a few ten MB. A key that very many classes have is not met there: its classes leave in blocks, of which
+    every two are a row of their own (``left``, ``right``), to be met wherever there is room.
+    """
+    none = lambda n, kind: pa.nulls(n, kind)
+    out = pa.schema([("id", pa.string()), ("class", pa.int64()), ("size", pa.int32()), *[(f"s{i}", pa.int64()) for i in range(SKETCH)], ("a", pa.int64()), ("b", pa.int64()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, classes = [], []
+        for batch in batches:
+            records = batch.filter(batch.column("entries").is_null())
+            n = records.num_rows
+            yield pa.RecordBatch.from_arrays([*[records.column(c) for c in out.names[: 3 + SKETCH]], none(n, pa.int64()), none(n, pa.int64()), none(n, out.field("left").type), none(n, out.field("left").type)], schema=out)
+            for table, entry in zip(batch.column("classes"), batch.column("entries")):
+                if entry.is_valid:
+                    x = np.frombuffer(entry.as_buffer(), dtype=np.uint64)
+                    keys.append(x >> np.uint64(12))
+                    classes.append(np.frombuffer(table.as_buffer(), dtype=np.int64)[(x & np.uint64(4095)).astype(np.int64)])
+        if not keys:
+            return
+        for kind, a, b in _pairs_of(np.concatenate(keys), np.concatenate(classes)):
+            step = 100_000 if kind == "pairs" else 16
+            for i in range(0, len(a), step):
+                x, y = a[i : i + step], b[i : i + step]
+                n = len(x)
+                lists = [none(n, pa.int64()), none(n, pa.int64()), pa.array(x, out.field("left").type), pa.array(y, out.field("left").type)] if kind == "blocks" else [pa.array(x), pa.array(y), none(n, out.field("left").type), none(n, out.field("left").type)]
+                yield pa.RecordBatch.from_arrays([none(n, out.field(c).type) for c in out.names[: 3 + SKETCH]] + lists, schema=out)
+
+    return sign.repartition(partitions, "bucket").mapInArrow(meet, f"id string, class bigint, {_DRAWN}, a bigint, b bigint, left array<bigint>, right array<bigint>")
+
+
+def kept_by_bitmap(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` of which ``column`` may be in that of ``wanted``: a bitmap of 2^bits places, so at most 2^(bits - 6) rows of 16
+    bytes (4 MB), is broadcast whatever the data; false ones stay and are left to the joins that follow."""
+    place = F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
     bitmap = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     return rows.join(F.broadcast(bitmap), word == F.col("_word")).where(bit.bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bits")
 
 
-def class_pairs(records: DataFrame, *, words: int, threshold: float, shared: int = 1) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of classes of ``signed`` records whose shingle sets are at least ``threshold`` alike.
+def near_duplicates(rows: DataFrame, *, id: str, text: Column, words: int, threshold: float, bands: int, band_rows: int, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (id, class) and pairs (a, b, similarity), a < b, of classes whose shingle sets are at least ``threshold`` alike.
 
-    Candidates share at least ``shared`` bands. Sketches rule out those that can't be alike enough, losing none; each other
-    pair is verified once, on its whole sets.
+    Records of one shingle set are one class, and only classes are signed and meet; so copies are never paired here. Classes
+    that share one of ``bands`` bands are candidates. Sketches rule out those that can't be alike enough, losing none; each
+    other pair is verified once, on its whole sets. What comes out doesn't depend on how rows are spread over tasks.
     """
-    own = records.where("keys is not null")
-    bands = own.select("class", F.explode("keys").alias("key"))
-    left, right = bands.select(F.col("class").alias("a"), "key"), bands.select(F.col("class").alias("b"), "key")
-    met = left.join(right.hint("shuffle_hash"), "key").where("a < b").select("a", "b")
-    # The same set signed by two tasks meets itself twice in a band; that only makes it a candidate sooner.
-    met = met.distinct() if shared == 1 else met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
-    drawn = own.select("class", "size", *[f"s{i}" for i in range(SKETCH)]).dropDuplicates(["class"])
-    side = lambda x: drawn.select(F.col("class").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in drawn.columns[1:]])
-    pairs = spooled(met.join(side("a"), "a").join(side("b"), "b").where(most_alike() >= threshold - 1e-12).select("a", "b"))
-    texts = kept_by_bitmap(own.select("class", "words"), pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    spark = rows.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    all_ = spooled(met(signed(rows, id=id, text=text, words=words, bands=bands, band_rows=band_rows, partitions=partitions), partitions))
+    members = all_.where("id is not null").select("id", "class")
+    drawn = all_.where("size is not null").groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ["size", *[f"s{i}" for i in range(SKETCH)]]])
+    blocks = all_.where("left is not null").select("left", "right").repartition(partitions)
+    blocks = blocks.select(F.explode("left").alias("a"), "right").select("a", F.explode("right").alias("b")).where("a < b")
+    candidates = all_.where("a is not null").select("a", "b").union(blocks).distinct()
+    side = lambda x: drawn.select(F.col("class").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in drawn.columns[2:]])
+    pairs = spooled(candidates.join(side("a"), "a").join(side("b"), "b").where(most_alike() >= threshold - 1e-12).select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(drawn.select("class", "id"), "class").select(F.col("id").alias("_id"))
+    read = rows.where(F.col(id).isNotNull()).select(F.col(id).cast("string").alias("_id"), text.alias("words")).where("words is not null")
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            hashes = set_hashes(*shingle_sets(batch.column("words"), words), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("words")], names=["class", "words"])
+
+    texts = kept_by_bitmap(read, "_id", wanted).select("words").mapInArrow(classed, "class bigint, words string")
     with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a")
     both = with_a.join(texts.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, "wa"):
             n = batch.num_rows
             owner, h = shingle_sets(pa.concat_arrays([batch.column("wa"), batch.column("wb")]), words)
             size = np.bincount(owner, minlength=2 * n)
-            pair = owner % n if n else owner
-            order = np.lexsort((h, pair))
-            p, x = pair[order], h[order]
-            same = (p[1:] == p[:-1]) & (x[1:] == x[:-1])
-            common = np.bincount(p[1:][same], minlength=n)
+            merged = np.sort(((owner % n).astype(np.uint64) << HASH_BITS) | h)
+            common = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> HASH_BITS).astype(np.int64), minlength=n)
             union = size[:n] + size[n:] - common
             alike = np.where(union > 0, common / np.maximum(union, 1), 0.0)
-            good = pa.array(alike >= threshold - 1e-12)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike)], names=["a", "b", "similarity"])
-            yield out.filter(good)
+            yield out.filter(pa.array(alike >= threshold - 1e-12))
 
-    # A class has as many texts as tasks that met it: the same set, so one verdict.
+    # A class has a text for each of its records that the bitmap lets through: the same set, so one verdict.
     found = both.select("a", "b", "wa", "wb").mapInArrow(verify, "a bigint, b bigint, similarity double")
-    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return members, found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

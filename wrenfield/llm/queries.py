@@ -11,7 +11,7 @@ from wrenfield.llm.graph import components
 from wrenfield.llm.matching import calibration, candidates, matched
 from wrenfield.llm.mixing import mix_report, mixed, packed_blocks
 from wrenfield.llm.names import known_place, name_clusters, read_names
-from wrenfield.llm.neardup import class_pairs, normal_words, signed
+from wrenfield.llm.neardup import near_duplicates, normal_words
 from wrenfield.llm.survivor import surviving_addresses
 from wrenfield.llm.tokens import decoded, encoded
 from wrenfield.operators.geography import country_spelling
@@ -93,23 +93,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_matches(spark, sf_dir).select("job_id", "school_key")
 
 
-#: Sets of three consecutive words are alike from 0.6 on. Candidates share one of 64 bands of 4: of pairs just that alike one
-#: in 7,000 is missed, of those 0.65 alike one in 290,000.
-P7 = {"words": 3, "threshold": 0.6, "bands": 64, "band_rows": 4, "shared": 1}
+#: Sets of three consecutive words are alike from 0.6 on. Candidates share one of 112 bands of 5: of pairs just that alike one
+#: in 8,600 is missed, of those 0.65 alike one in a million.
+P7 = {"words": 3, "threshold": 0.6, "bands": 112, "band_rows": 5}
 
 
-def p7_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "jobs").where("description is not null")
-    words = normal_words(F.col("title"), F.col("description"))
-    return spooled(signed(jobs, id="id", text=words, words=P7["words"], bands=P7["bands"], band_rows=P7["band_rows"]))
+def _near_adverts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    jobs = table(spark, sf_dir, "jobs")
+    # So many buckets that one holds about 4 million entries (32 MB) at most.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-jobs.count() * P7["bands"] // (1 << 22)))
+    return near_duplicates(jobs.where("description is not null"), id="id", text=normal_words(F.col("title"), F.col("description")), partitions=buckets, **P7)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = p7_signed(spark, sf_dir)
-    pairs = class_pairs(records, words=P7["words"], threshold=P7["threshold"], shared=P7["shared"]).select("a", "b")
-    members = records.where("class <> 0").select("id", "class").distinct()
+    members, pairs = _near_adverts(spark, sf_dir)
+    members = members.where("class <> 0").distinct()
     x, y = members.select(F.col("id").alias("x"), F.col("class").alias("a")), members.select(F.col("id").alias("y"), F.col("class").alias("b"))
-    unlike = pairs.join(x, "a").join(y, "b").select("x", "y")
+    unlike = pairs.select("a", "b").join(x, "a").join(y, "b").select("x", "y")
     # Copies of one set: every pair of their ids is asked for here.
     copies = x.join(y, F.col("a") == F.col("b")).where("x < y").select("x", "y")
     return unlike.union(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a <> id_b").distinct()
@@ -118,12 +118,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, class, group, links): one row per advert with its set's class, the group of near-duplicates of that class and
     the number of other classes it is linked to. Copies aren't expanded into pairs."""
-    records = p7_signed(spark, sf_dir)
-    pairs = spooled(class_pairs(records, words=P7["words"], threshold=P7["threshold"], shared=P7["shared"]))
+    members, pairs = _near_adverts(spark, sf_dir)
+    pairs = spooled(pairs)
     roots = components(pairs).select(F.col("node").alias("class"), F.col("root").alias("group"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
-    members = records.select("id", "class").distinct()
-    return members.join(roots, "class", "left").join(links, "class", "left").select("id", "class", F.coalesce("group", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    return members.distinct().join(roots, "class", "left").join(links, "class", "left").select("id", "class", F.coalesce("group", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
