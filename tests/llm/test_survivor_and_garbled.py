@@ -3,7 +3,7 @@ from datetime import datetime
 
 import pytest
 
-from wrenfield.llm.garbled import best_stretches, reread, restored
+from wrenfield.llm.garbled import LOST, SWITCH, UNTOLD, best_stretches, lattice, reread, restored
 from wrenfield.llm.survivor import consensus, representatives, surviving_addresses
 
 CLEAN = ["Größere Gruppen üben für die Prüfung im März.", "L’école préfère la natation à Évrine.", "Школа ищет учителя плавания.", "学校现招聘游泳教师，每周十课时。", "Szkoła poszukuje nauczyciela języka, także w październiku.", "At least 25 °C – prices from £39,500 • “school”."]
@@ -50,9 +50,13 @@ def test_restores_what_was_garbled_and_leaves_the_rest(spark):
     rows += [(2000 + i, garble(CLEAN[k], w, r), "x") for i, (k, w, r) in enumerate(CASES)]
     twice = garble(garble(CLEAN[0], "utf-8", "cp1252"), "utf-8", "cp1252")
     rows += [(3000, twice, "x"), (3001, CLEAN[0] + " Gr��ere", "x"), (3002, CLEAN[1] + "\n" + garble(CLEAN[5], "utf-8", "cp1252"), "x")]
+    two = [CLEAN[4], "plain words between", CLEAN[0]]
+    rows += [(3003, "\n".join([garble(two[0], "utf-8", "mac_roman"), two[1], garble(two[2], "utf-8", "cp1252")]), "x")]
+    rows += [(3004, CLEAN[4].encode().decode("latin-1").translate({c: LOST for c in range(0x80, 0xA0)}), "x"), (3005, CLEAN[2].encode("cp1251").decode("cp1252") + " èùåì", "x")]
     got = {r.doc_id: r for r in restored(spark.createDataFrame(rows, "doc_id bigint, text string, channel string")).collect()}
-    want = {2000 + i: CLEAN[k] for i, (k, _, _) in enumerate(CASES)} | {3000: CLEAN[0], 3002: CLEAN[1] + "\n" + CLEAN[5]}
-    assert set(got) == set(want) | {3001} and got[3001].lost
+    want = {2000 + i: CLEAN[k] for i, (k, _, _) in enumerate(CASES)} | {3000: CLEAN[0], 3002: CLEAN[1] + "\n" + CLEAN[5], 3003: "\n".join(two)}
+    want |= {3001: CLEAN[0] + " Größere", 3004: CLEAN[4], 3005: CLEAN[2] + " ищем"}  # the last word is in no other text
+    assert set(got) == set(want) and {k for k in got if got[k].lost} == {3001, 3004}
     assert {k: got[k].text for k in want} == want and hashlib.md5(got[3000].text.encode()).hexdigest()
 
 
@@ -60,18 +64,39 @@ def test_empty_corpus(spark):
     assert restored(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-@pytest.mark.parametrize("gains", [[], [5.0], [-1.0, 9.0, -2.0, 9.0, -30.0, 1.0], [2.0, 2.0]])
-def test_viterbi_against_all_paths(gains):
+@pytest.mark.parametrize(
+    "places",
+    [
+        [],
+        [{"a": (5.0, True)}],
+        [{"a": (-1.0, True)}, {"a": (9.0, True), "b": (9.5, False)}, {}, {"b": (-2.0, False)}, {"a": (9.0, True)}],
+        [{"a": (2.0, True)}, {"a": (2.0, False)}],
+        [{"b": (20.0, False)}, {"a": (4.0, True), "b": (3.0, True)}, {"b": (6.0, False)}],
+        [{"b": (11.0, False)}],
+        [{"b": (16.0, False)}, {"a": (9.0, True)}],
+    ],
+)
+def test_viterbi_against_all_paths(places):
     import itertools
 
-    def score(path):
-        states = [False, *path]
-        return sum(g for g, p in zip(gains, path) if p) - 3.0 * sum(b and not a for a, b in zip(states, states[1:]))
-
-    total, path = best_stretches(gains)
-    assert total == pytest.approx(max(score(p) for p in itertools.product([False, True], repeat=len(gains))) if gains else 0.0) and len(path) == len(gains)
-
-
-def test_lost_bytes_stay_lost():
-    assert reread("gá»�i", "cp1252", "utf-8", 1) == ("g�i", 2)
-    assert reread("café", "cp1252", "utf-8", 1) is None
+    def score(states):  # of each chunk a channel or None; chunks that a channel doesn't read may lie within its stretch
+        total = 0.0
+        stretches = [(c, [i for i, _ in own]) for c, own in itertools.groupby(enumerate(states), key=lambda x: x[1])]
+        for c, own in stretches:
+            if c is not None:
+                total -= SWITCH + (0.0 if any(places[i].get(c, (0, False))[1] for i in own) else UNTOLD)
+                total += sum(places[i].get(c, (0.0, False))[0] for i in own)
+        return total
+
+    channels = [None, *sorted({c for p in places for c in p})]
+    best = max((score(p) for p in itertools.product(channels, repeat=len(places))), default=0.0)
+    total, path = best_stretches(places)
+    assert total == pytest.approx(best) and len(path) == len(places) and all(c is None or c in p for c, p in zip(path, places))
+
+
+def test_lost_bytes_are_wildcards():
+    assert lattice("á»\ufffd", "cp1252") == (LOST, ["á»\ufffd"]) and lattice("Ã©Ã\ufffd–", "cp1252") == ("é" + LOST + "–", ["Ã\ufffd"])
+    assert reread("gá»\ufffdi", "cp1252", "utf-8", 1) == ("g" + LOST + "i", 2, ["á»\ufffd"])
+    assert reread("café", "cp1252", "utf-8", 1) is None and reread("für", "cp1252", "cp1251", 1) is None
+    long = "é" * 3000
+    assert reread(garble(long, "utf-8", "cp1252"), "cp1252", "utf-8", 1)[0] == long

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wrenfield.llm.bitmap import kept_by_bitmap
 from wrenfield.session import spooled
 
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -318,15 +319,6 @@ def met(sign: DataFrame, partitions: int) -> DataFrame:
     return sign.repartition(partitions, "bucket").mapInArrow(meet, f"id string, class bigint, {_DRAWN}, a bigint, b bigint, left array<bigint>, right array<bigint>")
 
 
-def kept_by_bitmap(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 24) -> DataFrame:
-    """``rows`` of which ``column`` may be in that of ``wanted``: a bitmap of 2^bits places, so at most 2^(bits - 6) rows of 16
-    bytes (4 MB), is broadcast whatever the data; false ones stay and are left to the joins that follow."""
-    place = F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1))
-    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
-    bitmap = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    return rows.join(F.broadcast(bitmap), word == F.col("_word")).where(bit.bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bits")
-
-
 def near_duplicates(rows: DataFrame, *, id: str, text: Column, words: int, threshold: float, bands: int, band_rows: int, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Members (id, class) and pairs (a, b, similarity), a < b, of classes whose shingle sets are at least ``threshold`` alike.
 
