@@ -22,6 +22,16 @@ def test_ids_equal_the_library_and_come_back(spark):
     assert {r.doc_id: r.text for r in decoded(encoded(docs)).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+@needs_files
+def test_rare_words_come_back_in_their_places(spark, monkeypatch):
+    from wrenfield.llm import tokens
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, "the same words") for i in range(9)], "doc_id bigint, text string")
+    want = {r.doc_id: r.ids for r in encoded(docs).collect()}
+    monkeypatch.setattr(tokens, "FREQUENT", {5: 3, 8: 1})
+    assert {r.doc_id: r.ids for r in encoded(docs.repartition(3)).collect()} == want
+
+
 @needs_files
 def test_empty_corpus(spark):
     assert encoded(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
@@ -52,9 +62,29 @@ def test_plans():
     drawn = shard_counts({"a": 100, "b": 57}, 32, 1)
     assert sum(n for _, s, _, n in drawn if s == "a") == 100 and sum(n for _, s, _, n in drawn if s == "b") == 57
     assert shard_counts({}, 32, 1) == []
+    many = shard_counts({"a": 30_000, "b": 9_000, "c": 1, "d": 0}, 100, 3)
+    sizes = {k: sum(n for j, _, _, n in many if j == k) for k in {j for j, *_ in many}}
+    assert set(sizes.values()) == {100, 1} and [sum(n for _, s, _, n in many if s == x) for x in "abcd"] == [30_000, 9_000, 1, 0]
+    own = [(f, n) for _, s, f, n in many if s == "a"]
+    assert all(f + n == g for (f, n), (g, _) in zip(own, own[1:]))
+    # As multinomial draws vary: 100 slots of which each is "a" with 0.769 have a deviation of 4.2.
+    full = [n for k, s, _, n in many if s == "a" and sizes[k] == 100]
+    assert 3.6 < (sum((n - 76.9) ** 2 for n in full) / len(full)) ** 0.5 < 4.8
+
+
+def test_groups_of_shards(spark, monkeypatch):
+    from wrenfield.llm import mixing
+
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    _, df = docs(spark)
+    blocks = packed_blocks(df, block=8).cache()
+    targets = spark.createDataFrame([("a", 0.4, 1), ("c", 0.6, 1)], "source string, target_share double, max_repeats bigint")
+    mixture = mixed(blocks, targets, shard=2).collect()
+    assert len({(r.shard, r.slot) for r in mixture}) == len(mixture) == len({(r.source, r.block) for r in mixture})
+    assert {r.slot for r in mixture} == {0, 1} and {r.shard for r in mixture} == set(range(-(-len(mixture) // 2)))
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 17, 1000])
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 17, 257, 1000, 4097, 65_537])
 def test_permutations(spark, size):
     out = spark.range(size).select(permuted(F.col("id"), F.lit(size), F.lit(5)).alias("p")).collect()
     assert sorted(r.p for r in out) == list(range(size))

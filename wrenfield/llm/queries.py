@@ -135,10 +135,12 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    targets = table(spark, sf_dir, "mix_targets").select("source").distinct()
-    wanted = documents.join(targets, "source", "left_semi").select("doc_id", "source")
-    return spooled(packed_blocks(p8_ids(spark, sf_dir).join(wanted, "doc_id")))
+    """Blocks of the sources that have a target; the others aren't read into tokens."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets").select("source").distinct()
+    wanted = documents.select("doc_id", "source", "text").join(targets, "source", "left_semi")
+    # The source goes through the encoder as part of the id, so that tokens need not be joined to it.
+    ids = encoded(wanted.select(F.struct("doc_id", "source").alias("doc"), "text"), id="doc")
+    return packed_blocks(ids.select("doc.doc_id", "doc.source", "ids"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
