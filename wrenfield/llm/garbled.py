@@ -317,7 +317,7 @@ def restored(documents: DataFrame) -> DataFrame:
     chunked = spooled(docs.select("doc_id", F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)).alias("chunks")).where("size(chunks) > 0"))
     distinct = chunked.select(F.explode(F.array_distinct("chunks")).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
     # Spread anew, as distinct chunks are few bytes for much work: adaptive execution would put them into one task.
-    read = spooled(read_chunks(distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")))
+    read = spooled(read_chunks(distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("chunk"))))
     corpus = spooled(read.where("channel is null").select(F.explode("come").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")))
     scored = spooled(weighed(read, corpus, max(documents.count(), 1)))
 
