@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from wrenfield.llm.graph import components
 from wrenfield.session import spooled
 
-# Words that tell the kind of a school, with usual abbreviations and spellings.
+# Words that tell the kind of a school, with usual abbreviations. Misspellings are found by their edits.
 KIND_WORDS = {
-    "school": "sch schl scool skool schol shcool scholl", "international": "int intl intnl internat intern", "british": "br brit britsh birtish",
-    "academy": "acad acdmy acadamy aca acadmy", "college": "coll col colege collage", "high": "hgh h", "bilingual": "biling bilingaul",
-    "primary": "pri prim primry", "grammar": "gram grammer gr", "community": "comm cmty comunity com", "world": "wld wrld",
-    "preparatory": "prep preparatry", "senior": "sr snr senoir", "american": "amer", "secondary": "sec", "nursery": "nur", "institute": "inst", "kindergarten": "kg",
+    "school": "sch schl skool", "international": "int intl intnl intern internat", "british": "br brit", "academy": "acad acdmy aca", "college": "coll col", "high": "hgh h", "bilingual": "biling",
+    "primary": "pri prim", "grammar": "gram gr", "community": "comm cmty", "world": "wld", "preparatory": "prep", "senior": "sr snr", "american": "amer", "secondary": "sec",
+    "nursery": "nur", "institute": "inst", "kindergarten": "kg",
 }
 # Initials of kinds.
 INITIALS = {
@@ -176,53 +175,47 @@ def read_names(names: DataFrame, places: list[str], name: str = "name") -> DataF
             rows = [(n, *reader(n)) for n in batch["name"]]
             yield pd.DataFrame(rows, columns=["name", "kinds", "proper", "cut"])
 
-    return names.select(F.col(name).alias("name")).where("name is not null").distinct().mapInPandas(read, READING)
+    distinct = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    # Spread anew: distinct names are few bytes for much work, which adaptive execution would put into one task.
+    return distinct.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name")).mapInPandas(read, READING)
 
 
-def segments(text: str, k: int) -> list[tuple[int, str]]:
-    """(start, segment): k + 1 segments of nearly equal length."""
-    n, parts, start = len(text), k + 1, 0
-    out = []
-    for i in range(parts):
-        size = n // parts + (i >= parts - n % parts)
-        out.append((start, text[start : start + size]))
-        start += size
-    return out
+def edits_allowed(length: Column, k: int = 2) -> Column:
+    """How many edits two proper parts may be apart, by the length of the shorter: one up to five letters, else ``k``."""
+    return F.when(length <= 5, 1).otherwise(k)
 
 
-def _index_rows(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(g, t, len(t), i, s) for g, t in zip(batch["kind"], batch["proper"]) if len(t) > k for i, (_, s) in enumerate(segments(t, k))]
-        yield pd.DataFrame(rows, columns=["kind", "other", "size", "part", "piece"])
-
-
-def _probe_rows(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for g, t in zip(batch["kind"], batch["proper"]):
-            seen = set()
-            for size in range(max(k + 1, len(t) - k), len(t) + 1):  # the longer of a pair looks for the shorter
-                for i, (start, s) in enumerate(segments("." * size, k)):
-                    for at in range(max(0, start - k), min(len(t) - len(s), start + k) + 1):
-                        seen.add((size, i, t[at : at + len(s)]))
-            rows += [(g, t, *x) for x in seen]
-        yield pd.DataFrame(rows, columns=["kind", "proper", "size", "part", "piece"])
+def segments(length: Column, k: int = 2) -> Column:
+    """array(struct(part, start, size)): the cut of a text of this length into one segment more than edits are allowed, of
+    nearly equal length; ``start`` counts from 0."""
+    parts = edits_allowed(length, k) + 1
+    base, longer = F.floor(length / parts).cast("int"), parts - length % parts  # segments from ``longer`` on have one letter more
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("part"), (i * base + F.greatest(i - longer, F.lit(0))).alias("start"), (base + (i >= longer).cast("int")).alias("size")))
 
 
 def near_pairs(nodes: DataFrame, k: int = 2) -> DataFrame:
     """(kind, proper, other, edits): pairs of different proper parts of one kind that are within ``k`` edits (insert, delete,
-    replace), each pair once. Parts of at most five letters must be within one.
+    replace), each pair once, or within one if the shorter has at most five letters. Single letters are near nothing.
 
     Pigeonhole: k edits leave one of k + 1 segments of the shorter part whole, at most k places from where it was; the
-    inverted index of segments is an equi-join. All survivors are verified by a banded edit distance.
+    inverted index of segments is an equi-join, with ranges of both lengths. All survivors are verified by a banded edit
+    distance. Frequent segments of short parts are split by salts, as many as their index has hundreds of rows.
     """
-    one = nodes.select("kind", "proper").distinct()
-    index = one.mapInPandas(lambda b: _index_rows(b, k), "kind string, other string, size int, part int, piece string")
-    probe = one.mapInPandas(lambda b: _probe_rows(b, k), "kind string, proper string, size int, part int, piece string")
+    one = nodes.where("length(proper) > 1").select("kind", "proper", F.length("proper").alias("len")).distinct()
+    cut = one.select("kind", F.col("proper").alias("other"), F.col("len").alias("size"), F.explode(segments(F.col("len"), k)).alias("s"))
+    index = cut.select("kind", "other", "size", F.col("s.part").alias("part"), F.expr("substring(other, s.start + 1, s.size)").alias("piece"))
+    # The longer of a pair looks for the shorter.
+    shorter = one.select("kind", "proper", "len", F.explode(F.sequence(F.greatest(F.lit(2), F.col("len") - k), F.col("len"))).alias("size")).where(F.col("len") - F.col("size") <= edits_allowed(F.col("size"), k))
+    looked = shorter.select("kind", "proper", "len", "size", edits_allowed(F.col("size"), k).alias("k"), F.explode(segments(F.col("size"), k)).alias("s"))
+    looked = looked.select("kind", "proper", "size", F.col("s.part").alias("part"), F.col("s.size").alias("n"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("s.start") - F.col("k")), F.least(F.col("len") - F.col("s.size"), F.col("s.start") + F.col("k")))).alias("at"))
+    probe = looked.select("kind", "proper", "size", "part", F.expr("substring(proper, at + 1, n)").alias("piece")).distinct()
+    by = ["kind", "size", "part", "piece"]
+    salts = index.groupBy(*by).agg(F.ceil(F.count("*") / 200).cast("int").alias("salts"))
+    salted_index = index.join(salts, by).withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int")).drop("salts")
+    salted_probe = probe.join(salts, by).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     # Of two parts of one length both find each other; the larger keeps the pair.
-    met = probe.join(index, ["kind", "size", "part", "piece"]).where("proper <> other and (length(proper) > length(other) or proper > other)").select("kind", "proper", "other").distinct()
-    within = F.levenshtein("proper", "other", k)
-    return met.select("*", within.alias("edits")).where("edits >= 0").where("edits <= 1 or length(other) > 5")
+    met = salted_probe.join(salted_index, [*by, "salt"]).where("proper <> other and (length(proper) > length(other) or proper > other)").select("kind", "proper", "other").distinct()
+    return met.select("*", F.levenshtein("proper", "other", k).alias("edits")).where("edits >= 0").where(F.col("edits") <= edits_allowed(F.length("other"), k))
 
 
 def cut_pairs(nodes: DataFrame, least: int = 4) -> DataFrame:
@@ -250,8 +243,8 @@ def name_clusters(mentions: DataFrame, places: list[str], k: int = 2) -> DataFra
     """(name, cluster): names of one cluster mean the same school.
 
     ``mentions`` has ``name``, ``country`` and ``place`` (both from closed lists, or null), in any number of rows. Names of
-    one reading are linked; other names are linked if their proper parts are near (``near_pairs``) or one may be the cut end
-    of the other (``cut_pairs``) and neither their countries nor their places exclude each other. Initials that may mean
+    one reading are linked; other names are linked if their proper parts are near (``near_pairs``) or one may be cut off and
+    is the beginning of spellings of one name only (``cut_pairs``), and neither their countries nor their places exclude each other. Initials that may mean
     two kinds mean the one that a near and surely read name has. Null names have no row.
     """
     seen = mentions.where("name is not null").groupBy("name", "country", "place").agg(F.count("*").alias("n"))
@@ -282,7 +275,11 @@ def name_clusters(mentions: DataFrame, places: list[str], k: int = 2) -> DataFra
     fits = agree("ca", "cb") & agree("pa", "pb")
     typed = near.where("proper > other").join(one, ["kind", "proper"]).join(two, ["kind", "other"]).where(fits)
     ended = cut_pairs(told).join(one, ["kind", "proper"]).join(two, ["kind", "other"]).where(fits & F.arrays_overlap("ca", "cb"))
-    ended = ended.groupBy("kind", "other").agg(F.max_by("proper", F.struct("na", "proper")).alias("proper"))
+    # The longer names that it may be the beginning of must be spellings of one: the commonest, and such as are near it.
+    best = ended.groupBy("kind", "other").agg(F.max_by("proper", F.struct("na", "proper")).alias("best"))
+    whole = ended.select("kind", "other", "proper").join(best, ["kind", "other"])
+    apart = whole.join(near.select("kind", "proper", F.col("other").alias("best")), ["kind", "proper", "best"], "left_anti").select("kind", "other").distinct()
+    ended = best.join(apart, ["kind", "other"], "left_anti").select("kind", "other", F.col("best").alias("proper"))
     node = lambda c: F.concat_ws("|", "kind", c)
     edges = typed.select(node("proper").alias("a"), node("other").alias("b")).union(ended.select(node("proper").alias("a"), node("other").alias("b")))
     roots = components(edges)
