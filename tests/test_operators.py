@@ -172,3 +172,25 @@ def test_classifier_reads_the_whole_body(spark, tmp_path):
     score = lambda **x: {r.id: r.score for r in QUERIES["classifier_score"](spark, str(tmp_path), **x).collect()}
     assert score() == {"a": 14, "b": 61, "c": 0}
     assert score(body_limit=6000) == {"a": 0, "b": 55, "c": 0}
+
+
+def test_same_openings(spark):
+    from wrenfield.operators.identity import role_of, same_role
+
+    same = [
+        ("Secondary PE Teacher", "Secondary Physical Education (PE) Teacher"), ("PE Teacher", "PE Teacher - January 2027"), ("Teacher - Physical Education (Female)", "Physical Education Teacher - Female"),
+        ("Netball Coach (Part-Time) | Enrich ME", "Netball Coach | Enrich ME Sports"), ("Physical Education Primary Teacher", "Job Title Physical Education Primary Teacher"),
+        ("PE Teacher [Female Primary Specialist] - Yasmina British Academy - Jan 27", "Teacher - Physical Education [Female]"), ("Primary Physical Education Teacher", "Physical Education Teacher"),
+    ]
+    other = [
+        ("Lead PE Teacher - January 2027", "Physical Education Teacher - January 2027"), ("Head of PE - Sec(BTEC)", "PE Teacher - Maternity Cover"), ("Golf Coach (Service Agreement)", "Lead Football Coach"), ("Lead Football Coach", "Lead Gymnastics Coach"),
+        ("Head of Sport and Physical Education", "Physical Education and Sports Teacher"), ("PE Technician - January 2027 Start", "Teacher of PE - August 2027 Start"), ("Physical Education Teacher | Maternity Cover", "Female Physical Education Teacher"),
+        ("Physical Education Teacher - Female", "Physical Education Teacher"), ("Physical Education Teacher (Secondary Girls)", "Physical Education Teacher (Secondary Boys)"), ("Physical Education Teacher - Middle and High School", "Physical Education Teacher - Primary School"),
+        ("Primary PE Teacher", "Secondary PE Teacher"), ("Early Years PE Teacher", "Primary PE Teacher"), ("Professor(a) de Educação Fisica - Educação Infantil", "Professor(a) Educação Física - Fund I"),
+    ]
+    df = spark.createDataFrame([(a, b, True) for a, b in same] + [(a, b, False) for a, b in other], "a string, b string, want boolean")
+    wrong = df.withColumn("got", same_role(role_of(F.col("a")), role_of(F.col("b")))).where("got <> want").collect()
+    assert not wrong
+    kinds = {"Head of Physical Education": "head", "Director of Sport": "director", "PE Teacher - Head of Primary": "teacher", "Lead PE Teacher": "lead", "Head of P.E.": "head", "Teaching Assistant (TA)": "support", "Second in PE": "lead", "PE Co-ordinator": "coordinator"}
+    got = spark.createDataFrame([(t,) for t in kinds], "t string").select("t", role_of(F.col("t"))["kind"].alias("k")).collect()
+    assert {r.t: r.k for r in got} == kinds
