@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wrenfield.functions.addresses import host_of, mail_host_of, mail_of
 from wrenfield.llm.names import EMPTY_WORDS, GIVEN_NAMES, KIND_WORDS
+from wrenfield.session import spooled
 
 # First labels of hosts that stand for "put your own here".
 PLACEHOLDERS = "domain yourdomain mydomain example email youremail mysite yoursite website yourwebsite company yourcompany test sample localhost site".split()
@@ -112,7 +113,7 @@ def representatives(candidates: DataFrame, *, half_life: dict[str, float] | None
         many = F.when(F.size("g") > 1, F.col("g")).otherwise(F.array().cast("array<struct<weight:double,value:string>>"))
         return group.select("key", "field", *by[1:], F.when(F.size("g") > 1, vote(many)).otherwise(F.col("g")[0]["value"]).alias("value"), "weight")
 
-    sized = alive.join(sizes, ["key", "field"])
+    sized = spooled(alive.join(sizes, ["key", "field"]))
     small = met(sized.where(F.col("n") <= MEET)).select("key", "field", "value")
     large = sized.where(F.col("n") > MEET)
     for level in range(1, 6):
