@@ -71,3 +71,22 @@ def test_intervals_agree_with_zoneinfo(spark, zone):
     for r in out:
         if r.status == "instant":
             assert r.value == datetime.fromtimestamp(stamps[r.id], timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+@pytest.mark.parametrize("zone", ["Europe/London", "America/New_York", "Australia/Sydney", "Asia/Kolkata"])
+def test_far_years(spark, zone):
+    import random
+    from datetime import datetime, timezone
+    from zoneinfo import ZoneInfo
+
+    rng = random.Random(2)
+    moments = [datetime(y, rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24), rng.randrange(60), tzinfo=timezone.utc) for y in [*rng.sample(range(1000, 1830), 8), *rng.sample(range(1830, 1970), 10), *rng.sample(range(2101, 9998), 30)]]
+    rows = [(i, zone, None, False, m.astimezone(ZoneInfo(zone)).replace(tzinfo=None, fold=0).strftime("%Y-%m-%d %H:%M:%S").zfill(19)) for i, m in enumerate(moments)]
+    zones = spark.createDataFrame([(zone,)], "z string")
+    out = normalised_times(spark.createDataFrame(rows, ROW), "value", clock_zone="clock_zone", place_zone="place_zone", month_first="month_first", intervals=zone_intervals(zones)).collect()
+    assert all(r.status in ("instant", "ambiguous") for r in out)
+    for r in out:
+        if r.status == "instant":
+            want = moments[r.id].replace(tzinfo=None)
+            # Proleptic days before 1582 are those of datetime; zones before 1830 have their mean time to the second.
+            assert r.value == want.strftime("%Y-%m-%dT%H:%M:%SZ").zfill(20), (zone, rows[r.id])

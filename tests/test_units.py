@@ -40,3 +40,16 @@ def test_fees_repeats_and_empty_tables(spark):
     got = {(r.rec, r.usd_low, r.usd_high) for r in annual_dollars(fee_figures(spark.createDataFrame(rows, schema)), *dims(spark)).collect()}
     assert {g for g in got if g[0] != "7"} == {("1", 127500, 132000), ("2", 108, 108), ("3", 15000, 18000)}
     assert annual_dollars(fee_figures(spark.createDataFrame([], schema)), *dims(spark)).count() == 0
+
+
+def test_combinations_that_are_not_unique_are_flagged(spark):
+    fx = spark.createDataFrame([("OMR", 1.0), ("JPY", 1.0)], "currency string, usd_per_unit double")
+    periods = spark.createDataFrame([("ANNUALLY", 1)], "period string, per_year bigint")
+    # The level of OMR is 10,000; minor units of it may be a hundredth or a thousandth.
+    rows = [(i, 10_000, 10_000, "OMR per year") for i in range(40)] + [(100, 3_162_277, 3_162_277, "OMR minor units per year"), (101, 1_000_000, 1_000_000, "OMR minor units per year"), (102, 10_000_000, 10_000_000, "OMR minor units per year")]
+    # JPY has too few figures for a level of its own.
+    rows += [(200, 9_000, 9_000, "JPY per year"), (201, 1_000_000, 1_000_000, "JPY minor units per year")]
+    figures = fee_figures(spark.createDataFrame(rows, "rec_id bigint, fee_low bigint, fee_high bigint, fee_currency string"))
+    got = {r.rec: (r.usd_high, r.unique) for r in annual_dollars(figures, fx, periods).collect()}
+    assert {k: got[k] for k in ("0", "100", "101", "102", "201")} == {"0": (10_000, True), "100": (got["100"][0], False), "101": (10_000, True), "102": (10_000, True), "201": (10_000, True)}
+    assert got["100"][0] in (3_162, 31_623)

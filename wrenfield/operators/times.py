@@ -80,10 +80,16 @@ def _spans(zone: str, first_year: int, last_year: int) -> list[tuple[int, int, i
     return spans
 
 
-def zone_intervals(zones: DataFrame, first_year: int = 1970, last_year: int = 2100) -> DataFrame:
+#: Years whose intervals are listed. Before them no zone changed its offset; after them each follows a yearly rule, so a year is
+#: as one of the last that begins on the same weekday and has as many days (``_TWINS``).
+FIRST_YEAR, LAST_YEAR = 1830, 2100
+_TWINS = {(y % 4 == 0) * 10 + datetime(y, 1, 1).isoweekday() % 7 + 1: y for y in range(2071, 2099)}
+
+
+def zone_intervals(zones: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
     """One row per zone of ``zones`` (first column) and local year: its offset intervals ``spans`` in local seconds.
 
-    At most 600 IANA zones x 131 years x a few intervals (about 10 MB) whatever the data, so it may be broadcast.
+    At most 600 IANA zones x 271 years x a few intervals (about 20 MB) whatever the data, so it may be broadcast.
     Names that are no zone give no row.
     """
 
@@ -196,14 +202,19 @@ def normalised_times(
     read = fenced(parsed(rows, value, month_first))
     zone = F.when(F.col("_wants_local"), F.col(place_zone)).otherwise(F.coalesce("_named", clock_zone))
     read = step(read, asked=F.when(F.col("_offset").isNull() & F.col("_local").isNotNull(), zone))
-    read = step(read, asked_year=F.when(F.col("_asked").isNotNull(), F.year("_day")))
+    year = F.year("_day")
+    new_year = F.make_date(year, F.lit(1), F.lit(1))
+    twin = F.element_at(F.create_map(*[F.lit(x) for kv in _TWINS.items() for x in kv]), F.when(F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) == 366, 10).otherwise(0) + F.dayofweek(new_year))
+    read = step(read, asked_year=F.when(F.col("_asked").isNotNull(), F.when(year < FIRST_YEAR, FIRST_YEAR).when(year > LAST_YEAR, twin).otherwise(year)))
+    away = (F.unix_date(new_year) - F.unix_date(F.make_date(F.col("_asked_year"), F.lit(1), F.lit(1)))).cast("bigint") * 86400
+    read = step(read, seen=F.when(year < FIRST_YEAR, F.lit(int(datetime(FIRST_YEAR, 1, 2, tzinfo=timezone.utc).timestamp()))).when(year > LAST_YEAR, F.col("_local") - away).otherwise(F.col("_local")))
     table = F.broadcast(intervals.select(F.col("zone").alias("_iz"), F.col("year").alias("_iy"), F.col("spans").alias("_spans")))
     met = read.join(table, (F.col("_asked") == F.col("_iz")) & (F.col("_asked_year") == F.col("_iy")), "left")
-    t = F.col("_local")
+    t, seen = F.col("_local"), F.col("_seen")
     met = step(
         met,
-        hits=F.array_sort(F.filter("_spans", lambda x: (x["since"] <= t) & (t < x["until"]))),
-        before=F.array_sort(F.filter("_spans", lambda x: x["until"] <= t)),
+        hits=F.array_sort(F.filter("_spans", lambda x: (x["since"] <= seen) & (seen < x["until"]))),
+        before=F.array_sort(F.filter("_spans", lambda x: x["until"] <= seen)),
     )
     offset = F.when(F.size("_hits") > 0, F.try_element_at("_hits", F.lit(1))["offset"]).otherwise(F.try_element_at("_before", F.lit(-1))["offset"])
     met = step(met, seconds=F.when(F.col("_offset").isNotNull(), t - F.col("_offset") * 60).otherwise(t - offset))

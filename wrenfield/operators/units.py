@@ -107,6 +107,10 @@ def scales(wording: Column, currency: Column) -> Column:
     )
 
 
+#: Unambiguous figures that a currency must have for a level of its own.
+ENOUGH = 30
+
+
 def annual_dollars(figures: DataFrame, fx: DataFrame, periods: DataFrame, *, kind: str = "tbl") -> DataFrame:
     """``figures`` with ``usd_low``, ``usd_high`` (bigint) and ``unique``.
 
@@ -116,7 +120,8 @@ def annual_dollars(figures: DataFrame, fx: DataFrame, periods: DataFrame, *, kin
     where the second candidate's residual is within ln 3 of the best.
 
     ``fx`` and ``periods`` are dimensions of a few dozen rows: currencies and period names of the world. The level that
-    residuals are taken against is the median log of the unambiguous figures of each ``kind``, over all rows.
+    residuals are taken against is the median log of the unambiguous figures of a ``kind`` and currency, over all rows, or of
+    the ``kind`` where a currency has fewer than ``ENOUGH``.
     """
     rates = fx.select(F.col("currency").alias("_c"), F.col("usd_per_unit").alias("_rate")).groupBy("_c").agg(F.max("_rate").alias("_rate"))
     years = periods.select(F.col("period").alias("_p"), F.col("per_year").alias("_years")).groupBy("_p").agg(F.max("_years").alias("_years"))
@@ -134,11 +139,16 @@ def annual_dollars(figures: DataFrame, fx: DataFrame, periods: DataFrame, *, kin
     )
     priced = fenced(step(priced, all=pairs))
     sure = priced.where((F.size("_all") == 1) & (F.col("_all")[0]["high"] > 0))
-    level = sure.groupBy(F.col(kind).alias("_k")).agg(F.percentile_approx(F.ln(F.col("_all")[0]["high"]), 0.5, 1000).alias("_level"))
+    # One pass: medians of kind and currency, and of kind alone (currency null), which is a dimension of a few dozen rows.
+    dollars = sure.select(F.col(kind).alias("_k"), F.explode(F.array(F.col("currency"), F.lit(None).cast("string"))).alias("_lc"), F.ln(F.col("_all")[0]["high"]).alias("_x"))
+    levels = dollars.groupBy("_k", "_lc").agg(F.count("*").alias("_n"), F.percentile_approx("_x", 0.5, 1000).alias("_m"))
+    own = levels.where(F.col("_lc").isNotNull() & (F.col("_n") >= ENOUGH)).select("_k", "_lc", F.col("_m").alias("_own"))
+    level = levels.where("_lc is null").select(F.col("_k").alias("_gk"), F.col("_m").alias("_general"))
     # Two ends of one figure are told in one unit: their own ratio counts as much as the distance from the level.
     residual = lambda c: F.abs(F.ln(F.sqrt(c["low"] * c["high"])) - F.coalesce(F.col("_level"), F.lit(10.5))) + F.ln(c["high"] / c["low"])
     scored = F.array_sort(F.transform(F.filter("_all", lambda c: c["low"] > 0), lambda c: F.struct(residual(c).alias("r"), c["low"].alias("low"), c["high"].alias("high"))))
-    best = step(priced.join(level, F.col(kind) == F.col("_k"), "left"), best=scored)
+    placed = priced.join(own, (F.col(kind) == F.col("_k")) & (F.col("currency") == F.col("_lc")), "left").join(level, F.col(kind) == F.col("_gk"), "left")
+    best = step(placed.withColumn("_level", F.coalesce("_own", "_general")), best=scored)
     best = fenced(best, F.size("_best") > 0)
     second = F.try_element_at("_best", F.lit(2))
     whole = lambda x: F.floor(x + 0.5).cast("bigint")

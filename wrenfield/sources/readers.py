@@ -153,8 +153,9 @@ _SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
 
 
-def pdf_text(content: bytes, limit: int = 400_000) -> str:
-    """The text that a PDF shows: raw and Flate streams, literal and hex strings (UTF-16BE too); "" for anything else."""
+def pdf_text(content: bytes, limit: int | None = None) -> str:
+    """The text that a PDF shows, or its first ``limit`` characters: raw and Flate streams, literal and hex strings (UTF-16BE
+    too); "" for anything else."""
     if not content.startswith(b"%PDF"):
         return ""
     out: list[str] = []
@@ -182,11 +183,11 @@ def pdf_text(content: bytes, limit: int = 400_000) -> str:
     return re.sub(r"\n{2,}", "\n", "".join(out)).strip()[:limit]
 
 
-def pdf_texts(files: DataFrame) -> DataFrame:
-    """(path, text) of ``binaryFile`` rows."""
+def pdf_texts(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(path, text) of ``binaryFile`` rows; null contents have the empty text."""
 
     @F.pandas_udf("string")
     def read(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: pdf_text(bytes(c)))
+        return content.map(lambda c: "" if c is None else pdf_text(bytes(c), limit))
 
     return files.select("path", read("content").alias("text"))
