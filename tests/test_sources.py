@@ -69,3 +69,45 @@ def test_streams(spark, tmp_path):
     stamped = spark.readStream.schema("key string, run bigint, seen boolean").parquet(str(tmp_path / "in")).withColumn("at", F.expr("timestamp '2026-01-01'"))
     run_into(first_sightings(stamped, "key", "at"), lambda df, _: once.extend(r.key for r in df.collect()), str(tmp_path / "c2"))
     assert sorted(once) == ["a", "b"]
+
+
+def test_keys_that_stop_coming_expire(spark, tmp_path):
+    days = [["a", "b"], ["a"], ["a"], ["a"], ["a"]]
+    out: dict = {}
+
+    def apply(df, _):
+        for r in df.collect():
+            out.setdefault(r.key, []).append(r.status)
+
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("key string, run bigint, seen boolean, at timestamp").parquet(str(tmp_path / "in"))
+    # A run of its own for each delivery, as a scheduler would start it.
+    for run, keys in enumerate(days):
+        spark.createDataFrame([(k, run, True) for k in keys], "key string, run bigint, seen boolean").withColumn("at", F.expr(f"timestamp '2026-01-01' + make_dt_interval({7 * run})")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_into(lifecycle(source, "key", "run", at="at", every="7 days"), apply, str(tmp_path / "c"), mode="update")
+    assert set(out["a"]) == {"open"} and out["b"] == ["open", "stale", "closed"]
+
+
+def test_stream_at_intervals_ends(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    got: list = []
+    query = run_into(spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")), lambda df, _: got.extend(r.id for r in df.collect()), str(tmp_path / "c"), every="1 second", stop_after=1)
+    assert sorted(got) == [0, 1, 2] and not query.isActive
+
+
+def test_labelled_fields_and_senders(spark):
+    html = "<dl><dt>Country:</dt><dd>Spain &amp; more</dd> <DT>Start</DT>\n<dd><b>Aug</b></dd><dt>Country</dt><dd>x</dd></dl><table><tr><th>Pay</th><td>1</td></tr></table>"
+    rows = spark.createDataFrame([(html,), ("",), (None,)], "h string").select(readers.labelled_fields(F.col("h")).alias("m")).collect()
+    assert [r.m for r in rows] == [{"country": "Spain & more", "start": "Aug", "pay": "1"}, {}, None]
+    mails = spark.createDataFrame([("x@mail.tes.com", "Jobs"), ("n@boards.example", ""), ("nobody", None)], "a string, b string")
+    assert [r.s for r in mails.select(readers.sender_label(F.col("a"), F.col("b")).alias("s")).collect()] == ["TES", "Email alert (boards.example)", "Email alert"]
+
+
+def test_tsv_and_json_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("=1+1", "a\tb\nc"), (None, "-x")], "a string, b string")
+    sinks.write_tsv(df.coalesce(1), str(tmp_path / "tsv"))
+    text = "".join(p.read_text() for p in (tmp_path / "tsv").glob("*.csv"))
+    assert text.splitlines() == ["a\tb", "'=1+1\ta b c", "\t'-x"]
+    sinks.write_json(df, str(tmp_path / "json"), "2026-01-15")
+    about = spark.read.json(str(tmp_path / "json" / "about")).first()
+    assert about.generatedAt == "2026-01-15" and about.headers == ["a", "b"] and spark.read.json(str(tmp_path / "json" / "rows")).count() == 2

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wrenfield.functions.text import html_to_text
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
     """Rows of an append-only log; lines that aren't JSON or lack a required field are left out."""
@@ -64,6 +66,27 @@ def anchors(html: Column) -> Column:
     )
 
 
+def labelled_fields(html: Column) -> Column:
+    """Map from labels to values of a page's pairs ``<dt>Label</dt><dd>value</dd>`` and ``<th>..</th><td>..</td>``: labels in lower
+    case without a colon, values as readable text. The first of a label counts."""
+    pairs = F.concat(*[F.regexp_extract_all(html, F.lit(rf"(?is)(<{a}\b[^>]*>.*?</{a}\s*>\s*<{b}\b[^>]*>.*?</{b}\s*>)"), F.lit(1)) for a, b in (("dt", "dd"), ("th", "td"))])
+    cut = lambda x, tags: html_to_text(F.regexp_extract(x, rf"(?is)<(?:{tags})\b[^>]*>(.*?)</(?:{tags})\s*>", 1))
+    named = F.transform(pairs, lambda x: F.struct(F.lower(F.regexp_replace(cut(x, "dt|th"), r"\s*:\s*$", "")).alias("label"), cut(x, "dd|td").alias("value")))
+    return F.aggregate(named, F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["label"]), m).otherwise(F.map_concat(m, F.create_map(x["label"], x["value"]))))
+
+
+# Services whose mail alerts are known, by a word of their sender or subject.
+SENDERS = {"schrole": "Schrole", "tes.com": "TES", "teachaway": "Teach Away", "searchassociates": "Search Associates", "linkedin": "LinkedIn", "indeed": "Indeed"}
+
+
+def sender_label(sender: Column, subject: Column) -> Column:
+    """The service that a mail alert comes from; of unknown ones the domain is told."""
+    hay = F.lower(F.concat_ws(" ", sender, subject))
+    domain = F.regexp_extract(sender, r"@([\w.-]+)", 1)
+    known = F.coalesce(*[F.when(hay.contains(word), label) for word, label in SENDERS.items()])
+    return F.coalesce(known, F.when(domain != "", F.concat(F.lit("Email alert ("), domain, F.lit(")"))), F.lit("Email alert"))
+
+
 def _balanced(text: str, start: int) -> str | None:
     """The JSON object that begins at ``start``; braces in texts don't count."""
     depth, inside, i = 0, False, start

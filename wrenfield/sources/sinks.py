@@ -18,12 +18,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated cells without quotes; tabs and line ends within cells are blanks."""
-    _texts(df, lambda c: F.regexp_replace(c, r"[\t\r\n]+", " ")).write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "\u0000").csv(path)
+    """Tab-separated cells without quotes that can't be taken for formulas; tabs and line ends within cells are blanks."""
+    _texts(df, lambda c: guarded_cell(F.regexp_replace(c, r"[\t\r\n]+", " "))).write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "\u0000").option("emptyValue", "").csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, generated_at: str | None = None) -> None:
+    """Rows as JSON lines below ``path``/rows, and their headers, with when they were made, in ``path``/about."""
+    df.write.mode("overwrite").json(f"{path}/rows")
+    about = df.sparkSession.createDataFrame([(generated_at, df.columns)], "generatedAt string, headers array<string>")
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
 def append_jsonl(df: DataFrame, path: str, known: DataFrame | None = None, keys: list[str] | None = None) -> None:
