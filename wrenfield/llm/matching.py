@@ -24,6 +24,12 @@ def bit_vector(grams: Column) -> Column:
     return F.aggregate(grams, F.lit(0).cast("bigint"), lambda v, g: v.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))))
 
 
+def vector_dice(a: Column, b: Column) -> Column:
+    """The Dice of two texts by the bit vectors of their q-grams; 1 for equal ones, null if either is null."""
+    x, y = bit_vector(qgrams(a)), bit_vector(qgrams(b))
+    return F.when(a == b, 1.0).otherwise(2.0 * F.bit_count(x.bitwiseAND(y)) / (F.bit_count(x) + F.bit_count(y)))
+
+
 def vector_chunks(vector: Column, radius: int = RADIUS) -> Column:
     """(chunk, bits): radius + 1 pieces of the vector; vectors within the radius have one in common."""
     parts = radius + 1
@@ -37,9 +43,17 @@ def hamming_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> Da
     most ``radius`` bits, exactly: multi-index hashing on chunks, verified on whole vectors; with the Dice of their q-grams."""
     coded = lambda df: df.select("kind", "proper").distinct().withColumn("grams", qgrams(F.col("proper"))).withColumn("vector", bit_vector(F.col("grams")))
     a, b = coded(left), coded(right)
+    by = ["kind", "chunk", "bits"]
     spread = lambda df: df.select("kind", "proper", "vector", F.explode(vector_chunks(F.col("vector"), radius)).alias("c")).select("kind", "proper", "vector", "c.*")
     probes, index = spread(a), spread(b).withColumnsRenamed({"proper": "other", "vector": "own"})
-    close = probes.join(index, ["kind", "chunk", "bits"]).where(F.bit_count(F.col("vector").bitwiseXOR(F.col("own"))) <= radius)
+    # Frequent bits are split: their index by salts of a few hundred rows, and each probe goes to every salt.
+    salts = index.groupBy(*by).agg(F.ceil(F.count("*") / 200).cast("int").alias("salts"))
+    index = index.join(salts, by).withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int")).select(*by, "salt", "other", "own")
+    probes = probes.join(salts, by).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*by, "salt", "proper", "vector")
+    # Few bytes for much work: adaptive execution isn't to put them into one task.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes, index = probes.repartition(tasks, *by, "salt"), index.repartition(tasks, *by, "salt")
+    close = probes.hint("shuffle_hash").join(index, [*by, "salt"]).where(F.bit_count(F.col("vector").bitwiseXOR(F.col("own"))) <= radius)
     # Fenced, so that what is asked of a pair later isn't computed for all that share a chunk.
     pairs = fenced(close.select("kind", "proper", "other").distinct())
     x, y = qgrams(F.col("proper")), qgrams(F.col("other"))
@@ -70,7 +84,8 @@ def candidates(adverts: DataFrame, entities: DataFrame) -> DataFrame:
     (each may be null; several rows a key). An advert meets schools by close names of one kind and by a web or mail domain
     that belongs to one school only; a name without a kind has that of the schools it is close to, if they have but one
     (``with_only_kind``); one that names a school isn't met by domain alone if the kinds differ. Close names are
-    checked by edit distance, and by country and place where they differ at all. The score is the weighted mean of the fields that both sides have: Dice of the names, and equality of the rest.
+    checked by edit distance, and by country and place where they differ at all. The score is the weighted mean over the fields that both sides have: the Dice of
+    the q-grams of names, countries and places, and whether the domain is the school's own.
     """
     named = adverts.where("proper <> ''").select("id", F.explode("kinds").alias("kind"), "proper")
     names = entities.where("proper <> ''").select("key", "kind", F.col("proper").alias("other")).distinct()
@@ -88,7 +103,8 @@ def candidates(adverts: DataFrame, entities: DataFrame) -> DataFrame:
     by_domain = by_domain.join(kinds.select("key", "own_kinds"), "key").where(fits).select("id", "key", F.lit(1.0).alias("domain"))
     both = by_name.join(by_domain, ["id", "key"], "full").join(kinds, "key").join(adverts.select("id", "country", "place", "proper"), "id")
     w = {k: F.lit(v) for k, v in WEIGHTS.items()}
-    inside = lambda v, s: F.when(F.col(v).isNotNull() & (F.size(s) > 0), F.array_contains(s, F.col(v)).cast("double"))
+    # Of several values of a school the closest counts.
+    inside = lambda v, s: F.when(F.col(v).isNotNull() & (F.size(s) > 0), F.array_max(F.transform(s, lambda x: vector_dice(F.col(v), x))))
     sims = {
         "name": F.when(F.coalesce("proper", F.lit("")) != "", F.coalesce("name", F.lit(0.25))),
         "domain": F.col("domain"),
