@@ -148,11 +148,11 @@ def keyed_union(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("k").agg(F.min("probe").alias("probe"))
 
 
-@query("SELECT id AS key, source, title, status FROM jobs UNION ALL SELECT job_id, source, title, status FROM job_snapshots WHERE run_id = 6")
+@query("SELECT id AS key, source, school_key, title, status, last_seen_at, closed_at FROM jobs UNION ALL SELECT job_id, source, school_key, title, status, last_seen_at, closed_at FROM job_snapshots")
 def shared_columns(spark, sf_dir):
-    """Two tables read by the columns that both have."""
-    a, b = table(spark, sf_dir, "jobs").withColumnRenamed("id", "key"), table(spark, sf_dir, "job_snapshots").where("run_id = 6").withColumnRenamed("job_id", "key")
-    both = [c for c in a.columns if c in b.columns and c in ("key", "source", "title", "status")]
+    """Two tables read by the columns that both have, whatever these are."""
+    a, b = table(spark, sf_dir, "jobs").withColumnRenamed("id", "key"), table(spark, sf_dir, "job_snapshots").withColumnRenamed("job_id", "key")
+    both = [c for c, kind in a.dtypes if dict(b.dtypes).get(c) == kind]
     return a.select(both).unionByName(b.select(both))
 
 

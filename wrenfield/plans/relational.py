@@ -265,15 +265,24 @@ def scaled_in_unit(spark, sf_dir):
     return keyed.scaled_in_largest_unit(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_acctbal", "score").select("c_custkey", F.round("score", 4).alias("score"))
 
 
-@query("""WITH k AS (SELECT 'n' || n_nationkey AS key, n_nationkey, n_name FROM nation), a AS (SELECT n_nationkey AS target, n_name FROM nation WHERE n_regionkey = 0), b AS (SELECT n_nationkey AS target, n_name FROM nation),
-  m AS (SELECT key, target, 1 AS level FROM k JOIN a USING (n_name) UNION SELECT key, target, 2 FROM k JOIN b USING (n_name)),
-  g AS (SELECT key, level, count(DISTINCT target) AS n, min(target) AS target FROM m GROUP BY key, level),
-  h AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY key ORDER BY level) = 1)
+@query(f"""WITH j AS (SELECT DISTINCT school_key, school_name FROM {ONE_JOB} WHERE school_name IS NOT NULL), s AS (SELECT DISTINCT school_key AS target, lower(trim(name)) AS name FROM schools WHERE school_key IS NOT NULL AND trim(name) <> ''),
+  m AS (SELECT j.school_name AS key, target, 1 AS level FROM j JOIN s ON j.school_key = s.target UNION SELECT school_name, target, 2 FROM j JOIN s ON lower(trim(school_name)) = name
+    UNION SELECT school_name, target, 3 FROM j JOIN s ON regexp_extract(name, '[a-z0-9]+') <> '' AND list_contains(regexp_extract_all(lower(school_name), '[a-z0-9]+'), regexp_extract(name, '[a-z0-9]+')) AND contains(' ' || array_to_string(regexp_extract_all(lower(school_name), '[a-z0-9]+'), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(name, '[a-z0-9]+'), ' ') || ' ')),
+  g AS (SELECT key, level, count(DISTINCT target) AS n, min(target) AS target FROM m GROUP BY key, level), h AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY key ORDER BY level) = 1)
   SELECT key, target, level FROM h WHERE n = 1""")
 def lookup_ladder(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").withColumn("key", F.concat(F.lit("n"), "n_nationkey"))
-    side = lambda df: n.select("key", "n_name").join(df.select("n_name", F.col("n_nationkey").alias("target")), "n_name").select("key", "target")
-    return keyed.laddered(n, "key", [side(n.where("n_regionkey = 0")), side(n)])
+    """The record that a written school name means: by key, by exact name, then by a record's whole name as words within it. The
+    first rung that has any decides, if it has but one. Words meet by the first of a record's name."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    j = one_job(spark, sf_dir, "school_key", "school_name").where("school_name is not null").select(F.col("school_name").alias("key"), "school_key").distinct()
+    s = table(spark, sf_dir, "schools").where("school_key is not null and trim(name) <> ''").select(F.col("school_key").alias("target"), F.lower(F.trim("name", F.lit(" "))).alias("name")).distinct()
+    by_key = j.join(s, F.col("school_key") == F.col("target")).select("key", "target")
+    by_name = j.join(s, F.lower(F.trim("key", F.lit(" "))) == F.col("name")).select("key", "target")
+    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    asked = j.select("key", padded(words(F.col("key"))).alias("hay"), F.explode(F.array_distinct(words(F.col("key")))).alias("word"))
+    held = s.select("target", padded(words(F.col("name"))).alias("needle"), F.try_element_at(words(F.col("name")), F.lit(1)).alias("word"))
+    by_words = asked.join(held, "word").where("contains(hay, needle)").select("key", "target")
+    return keyed.laddered(j.select("key").distinct(), "key", [by_key, by_name, by_words])
 
 
 @query("SELECT j.job_id, count(*) AS mentions, count(j2.id) = 0 AS unknown FROM job_snapshots j LEFT JOIN (SELECT DISTINCT id FROM jobs) j2 ON j.job_id = j2.id GROUP BY 1")

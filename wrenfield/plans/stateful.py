@@ -44,12 +44,11 @@ def upsert_rows(spark, sf_dir):
     return state.upserted(held(spark, sf_dir, 5), held(spark, sf_dir, 6), "job_id", overwrite=["title"], fill=["school_key"], keep=["source"], constants={"status": F.lit("open")})
 
 
-@query(f"""WITH a AS (SELECT * FROM {HELD} WHERE run_id = 5), seen AS (SELECT DISTINCT job_id FROM job_snapshots WHERE run_id = 6), src AS (SELECT source FROM boards WHERE enumerated)
+@query(f"""WITH a AS (SELECT * FROM {HELD} WHERE run_id = 5), seen AS (SELECT DISTINCT job_id FROM job_snapshots WHERE run_id = 6), src AS (SELECT source FROM boards WHERE enumerated AND (source = 'mailalert' OR source IN (SELECT source FROM job_snapshots WHERE run_id = 6)))
   SELECT job_id, CASE WHEN a.source IN (SELECT source FROM src) AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.job_id = a.job_id) AND lower(trim(status)) = 'open' THEN 'stale'
     WHEN a.source IN (SELECT source FROM src) AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.job_id = a.job_id) AND lower(trim(status)) = 'stale' THEN 'closed' ELSE lower(trim(status)) END AS status FROM a""")
 def lifecycle_sweep(spark, sf_dir):
-    """Run 6 over what run 5 left. Enumerated sources without a row in run 6 didn't run and aren't swept, mail aside; the SQL
-    lacks this guard, and agrees where each of them has rows. What ``runs`` says of failures has no bearing on snapshots."""
+    """Run 6 over what run 5 left. Enumerated sources without a row in run 6 didn't run and aren't swept, mail aside. What ``runs`` says of failures has no bearing on snapshots."""
     old = held(spark, sf_dir, 5).withColumn("status", F.lower(F.trim("status")))
     seen = table(spark, sf_dir, "job_snapshots").where("run_id = 6").select("job_id", "source")
     boards = table(spark, sf_dir, "boards").where("enumerated").select("source")
@@ -141,8 +140,8 @@ def email_extract(spark, sf_dir):
 
 @query()
 def html_text(spark, sf_dir):
-    """Readable text of documents with markup; regular expressions of the oracle lack references, so tests hold the cases."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("<[a-zA-Z/!]|&[a-zA-Z#]"))
+    """Readable text of all documents as pages; regular expressions of the oracle lack references, so tests hold the cases."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(F.encode(tx.html_to_text(F.col("text")), "UTF-8")).alias("text_md5"))
 
 
@@ -161,12 +160,11 @@ def _oracle_hits(terms: list[Term]) -> str:
     return f"list_filter([{rows}], lambda x: x IS NOT NULL)"
 
 
-@query(f"""WITH j AS (SELECT id, coalesce(title, '') AS title, substr(coalesce(description, ''), 1, 6000) AS body FROM {ONE_JOB}), h AS (SELECT id, {_oracle_hits(SUBJECT)} AS c, {_oracle_hits(SPORT)} AS s, {_oracle_hits(VETO)} AS v FROM j),
+@query(f"""WITH j AS (SELECT id, coalesce(title, '') AS title, coalesce(description, '') AS body FROM {ONE_JOB}), h AS (SELECT id, {_oracle_hits(SUBJECT)} AS c, {_oracle_hits(SPORT)} AS s, {_oracle_hits(VETO)} AS v FROM j),
   b AS (SELECT id, c, s, v, coalesce(list_max(list_transform(c, lambda x: x.w)), 0) AS bc, coalesce(list_max(list_transform(s, lambda x: x.w)), 0) AS bs, coalesce(list_max(list_transform(v, lambda x: x.w)), 0) AS bv, len(list_filter(c, lambda x: x.t)) > 0 AS ct, len(list_filter(v, lambda x: x.t)) > 0 AS vt FROM h)
   SELECT id, greatest(0, least(100, floor(bc + bs * CASE WHEN len(c) > 0 THEN 0.35 ELSE 1 END + greatest(0, least(12, (len(c) + len(s) - 1) * 4)) - bv * CASE WHEN NOT ct AND vt THEN 1.0 WHEN len(c) = 0 THEN 0.6 ELSE 0.15 END + 0.5)))::INTEGER AS score FROM b""")
 def classifier_score(spark, sf_dir, body_limit: int | None = None):
-    """Families of terms against title and whole body, or its first ``body_limit`` characters. The SQL reads 6,000 of them, and
-    agrees where no body is longer."""
+    """Families of terms against title and whole body, or its first ``body_limit`` characters."""
     j = one_job(spark, sf_dir, "title", "description")
     t, b = F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))
     b = b if body_limit is None else F.substring(b, 1, body_limit)
