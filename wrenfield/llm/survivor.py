@@ -95,7 +95,7 @@ def representatives(candidates: DataFrame, *, half_life: dict[str, float] | None
     that is a little later. Null values and keys have no part.
 
     Up to about ``MEET`` values meet in one vote. Larger groups are a tournament: values meet in hash chunks of that size,
-    and each chunk's survivor goes on with the weight of its chunk; five rounds are enough for 10^9 values of one group.
+    and each chunk's survivor goes on with the weight of its chunk, in as many rounds as the largest group needs.
     """
     one = candidates.where("key is not null and value is not null").select("key", "field", "value", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "at")
     best = one.groupBy("key", "field").agg(F.max("confidence").alias("best"), F.max("at").alias("latest"))
@@ -114,12 +114,16 @@ def representatives(candidates: DataFrame, *, half_life: dict[str, float] | None
         return group.select("key", "field", *by[1:], F.when(F.size("g") > 1, vote(many)).otherwise(F.col("g")[0]["value"]).alias("value"), "weight")
 
     sized = spooled(alive.join(sizes, ["key", "field"]))
-    small = met(sized.where(F.col("n") <= MEET)).select("key", "field", "value")
-    large = sized.where(F.col("n") > MEET)
-    for level in range(1, 6):
-        chunk = F.pmod(F.xxhash64("value", F.lit(level)), F.greatest(F.ceil(F.col("n") / MEET**level), F.lit(1)))
-        large = met(large.withColumn("chunk", chunk), "chunk", "n")
-    return small.unionByName(large.select("key", "field", "value"))
+    most = sized.agg(F.max("n")).first()[0] or 0
+    chosen = met(sized.where(F.col("n") <= MEET)).select("key", "field", "value")
+    if most > MEET:
+        large, level = sized.where(F.col("n") > MEET), 0
+        while level == 0 or MEET**level < most:
+            level += 1
+            chunk = F.pmod(F.xxhash64("value", F.lit(level)), F.greatest(F.ceil(F.col("n") / MEET**level), F.lit(1)))
+            large = met(large.withColumn("chunk", chunk), "chunk", "n")
+        chosen = chosen.unionByName(large.select("key", "field", "value"))
+    return chosen
 
 
 def family_of(key: Column) -> Column:
