@@ -194,3 +194,14 @@ def test_same_openings(spark):
     kinds = {"Head of Physical Education": "head", "Director of Sport": "director", "PE Teacher - Head of Primary": "teacher", "Lead PE Teacher": "lead", "Head of P.E.": "head", "Teaching Assistant (TA)": "support", "Second in PE": "lead", "PE Co-ordinator": "coordinator"}
     got = spark.createDataFrame([(t,) for t in kinds], "t string").select("t", role_of(F.col("t"))["kind"].alias("k")).collect()
     assert {r.t: r.k for r in got} == kinds
+
+
+def test_spooled_tables_are_dropped(spark):
+    from wrenfield.session import drop_spools, spooled
+
+    drop_spools(spark)
+    table = spooled(spark.range(3))
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert table.count() == 3 and os.path.isdir(path) and drop_spools(spark) == 1 and not os.path.exists(path) and drop_spools(spark) == 0

@@ -46,16 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def spooled(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: cuts the lineage, survives lost executors,
-    keeps columns prunable and is compressed, which ``checkpoint()`` is not."""
+    keeps columns prunable and is compressed, which ``checkpoint()`` is not. ``drop_spools`` deletes what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _SPOOLS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut by a reliable ``checkpoint()`` in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+#: Spooled tables by application.
+_SPOOLS: dict[str, list[str]] = {}
+
+
+def drop_spools(spark: SparkSession) -> int:
+    """Delete the spooled tables of this application; how many there were. To be called when results are written: tables that
+    were made before it can't be read any more."""
+    paths = _SPOOLS.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(conf).delete(there, True)
+    return len(paths)
