@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wrenfield.functions import text as tx
 from wrenfield.functions.addresses import host_of, mail_host_of
-from wrenfield.operators import contact, keyed, tracking
+from wrenfield.operators import contact, keyed, state, tracking
 from wrenfield.plans.relational import ONE_JOB, ONE_SCHOOL, one_job, one_school
 from wrenfield.session import table
 
@@ -80,6 +80,15 @@ def report_filter(spark, sf_dir, needle: str = "swim", lead_only: bool = True, v
     return j.where(text & lead & seen).select("id", "title")
 
 
+@query("""WITH c AS (SELECT o_orderpriority AS source, date_trunc('month', o_orderdate)::DATE AS run, count(*) AS raw, bool_or(o_totalprice > 440000) AS failed FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run DESC) AS rn FROM c),
+  h AS (SELECT source, max(raw) FILTER (rn = 1) AS raw, bool_or(failed) FILTER (rn = 1) AS bad, count(raw) FILTER (rn BETWEEN 2 AND 11 AND NOT failed) AS n, median(raw) FILTER (rn BETWEEN 2 AND 11 AND NOT failed) AS usual FROM r GROUP BY 1),
+  s AS (SELECT source, CASE WHEN bad THEN 'failed' WHEN n < 3 THEN 'new' WHEN usual >= 5 AND raw = 0 THEN 'empty' WHEN usual >= 5 AND raw < 0.4 * usual THEN 'low' ELSE 'ok' END AS status, raw, usual FROM h) SELECT * FROM s WHERE status IN ('failed', 'empty', 'low')""")
+def source_problems(spark, sf_dir):
+    """Sources whose latest run failed, gave nothing or far less than usual; failed runs don't count for what is usual."""
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("run")).agg(F.count("*").alias("raw"), F.max(F.col("o_totalprice") > 440000).alias("failed"))
+    return state.health(runs, "source", "run", "raw", "failed").where(F.col("status").isin("failed", "empty", "low"))
+
+
 ROLE_WORDS = "teacher|head of|director of|coordinator|instructor|coach|leader|specialist|vacancy|position"
 
 
