@@ -152,14 +152,18 @@ def scoreboard(spark, sf_dir):
     )
 
 
-@query(f"""SELECT school_key, count(*) AS roles, string_agg(title, '; ' ORDER BY last_seen_at DESC NULLS LAST, id) AS titles, arg_min(url, (coalesce(-epoch_us(last_seen_at), 9e18::BIGINT), id)) AS first_url, min(app_form) AS form
-  FROM {ONE_JOB} WHERE school_key IS NOT NULL AND lower(trim(status)) = 'open' AND title IS NOT NULL GROUP BY 1""")
+@query(f"""WITH o AS (SELECT *, coalesce(deadline_at, '9999') AS due FROM {ONE_JOB} WHERE school_key IS NOT NULL AND lower(trim(status)) = 'open' AND title IS NOT NULL)
+  SELECT school_key, count(*) AS roles, string_agg(title, '; ' ORDER BY due, id) AS titles, arg_min(url, (due, id)) AS first_url, min(deadline_at) AS soonest, coalesce(min(app_form) FILTER (app_form IN ('online', 'pdf', 'word')), min(app_form)) AS form FROM o GROUP BY 1""")
 def open_roles(spark, sf_dir):
-    """The ordered fold of an entity's open adverts."""
-    j = one_job(spark, sf_dir, "school_key", "status", "title", "url", "app_form", "last_seen_at").where("school_key is not null and lower(trim(status)) = 'open' and title is not null")
-    at = F.coalesce(-F.unix_micros("last_seen_at"), F.lit(9 * 10**18))
-    g = j.withColumn("o", at).groupBy("school_key").agg(F.count("*").alias("roles"), F.array_sort(F.collect_list(F.struct("o", "id", "title"))).alias("x"), F.min_by("url", F.struct("o", "id")).alias("first_url"), F.min("app_form").alias("form"))
-    return g.select("school_key", "roles", F.array_join(F.transform("x", lambda r: r["title"]), "; ").alias("titles"), "first_url", "form")
+    """The ordered fold of an entity's open adverts: titles by deadline (as written, missing ones last), the soonest deadline, and
+    a form that can be filled in before none. The list of titles is the report itself, one row an entity."""
+    j = one_job(spark, sf_dir, "school_key", "status", "title", "url", "app_form", "deadline_at").where("school_key is not null and lower(trim(status)) = 'open' and title is not null")
+    j = j.withColumn("due", F.coalesce("deadline_at", F.lit("9999")))
+    g = j.groupBy("school_key").agg(
+        F.count("*").alias("roles"), F.array_sort(F.collect_list(F.struct("due", "id", "title"))).alias("x"), F.min_by("url", F.struct("due", "id")).alias("first_url"), F.min("deadline_at").alias("soonest"),
+        F.coalesce(F.min(F.when(F.col("app_form").isin("online", "pdf", "word"), F.col("app_form"))), F.min("app_form")).alias("form"),
+    )
+    return g.select("school_key", "roles", F.array_join(F.transform("x", lambda r: r["title"]), "; ").alias("titles"), "first_url", "soonest", "form")
 
 
 @query("""WITH g AS (SELECT c_nationkey, o_orderpriority, o_orderstatus, count(*) AS samples, avg(o_totalprice) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
@@ -306,6 +310,16 @@ def array_union(spark, sf_dir):
     return l.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("flags"))
 
 
+@query(f"""WITH u AS (SELECT j.id, list_concat(coalesce(j.curriculum, []), coalesce(s.curriculum, [])) AS every FROM {ONE_JOB} j LEFT JOIN {ONE_SCHOOL} s ON j.school_key = s.school_key)
+  SELECT id, array_to_string(list_transform(list_filter(range(1, len(every) + 1), lambda i: list_position(every, every[i]) = i), lambda i: every[i]), ', ') AS curriculum FROM u""")
+def ordered_union(spark, sf_dir):
+    """Arrays of advert and school united in their order, each value once."""
+    s = one_school(spark, sf_dir, "curriculum").where("school_key is not null").select("school_key", F.col("curriculum").alias("more"))
+    none = F.array().cast("array<string>")
+    j = one_job(spark, sf_dir, "school_key", "curriculum").join(s, "school_key", "left")
+    return j.select("id", F.array_join(F.array_distinct(F.concat(F.coalesce("curriculum", none), F.coalesce("more", none))), ", ").alias("curriculum"))
+
+
 @query("SELECT o_orderkey, o_totalprice, o_orderdate::DATE::VARCHAR AS day FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def top_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100).select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))

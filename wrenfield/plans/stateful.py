@@ -131,11 +131,13 @@ def host_keys(spark, sf_dir):
     return table(spark, sf_dir, "schools").where("website is not null").select("website").distinct().select("website", host_of(F.col("website")).alias("host"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}'), lambda x: lower(x))) AS found FROM documents WHERE text IS NOT NULL)
-  SELECT doc_id, array_to_string(list_sort(list_filter(found, lambda e: NOT regexp_matches(e, '\.(png|jpe?g|gif|svg|webp|css|js)$'))), ',') AS emails FROM d WHERE len(list_filter(found, lambda e: NOT regexp_matches(e, '\.(png|jpe?g|gif|svg|webp|css|js)$'))) > 0""")
+@query(rf"""WITH d AS (SELECT id, list_distinct(list_transform(regexp_extract_all(concat_ws(' ', description, array_to_string(emails, ' or ')), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}'), lambda x: lower(x))) AS found FROM {ONE_JOB})
+  SELECT id, array_to_string(list_sort(list_filter(found, lambda e: NOT regexp_matches(e, '\.(png|jpe?g|gif|svg|webp|css|js)$'))), ',') AS emails FROM d WHERE len(list_filter(found, lambda e: NOT regexp_matches(e, '\.(png|jpe?g|gif|svg|webp|css|js)$'))) > 0""")
 def email_extract(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", tx.emails_in(F.col("text")).alias("found"))
-    return d.where("size(found) > 0").select("doc_id", F.array_join(F.array_sort("found"), ",").alias("emails"))
+    """Addresses in running text: adverts with their contact lines."""
+    j = one_job(spark, sf_dir, "description", "emails")
+    d = j.select("id", tx.emails_in(F.concat_ws(" ", "description", F.array_join("emails", " or "))).alias("found"))
+    return d.where("size(found) > 0").select("id", F.array_join(F.array_sort("found"), ",").alias("emails"))
 
 
 @query()
