@@ -4,6 +4,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
+from wrenfield.llm import names
 from wrenfield.llm.matching import bit_vector, calibration, candidates, hamming_pairs, matched, qgrams
 from wrenfield.llm.names import edits, known_place, name_clusters, name_reader, near_pairs
 
@@ -70,6 +71,21 @@ def test_clusters(spark):
     assert name_clusters(spark.createDataFrame([], "name string, country string, place string"), PLACES).count() == 0
 
 
+def test_shuffles_follow_the_number_of_names(spark, monkeypatch):
+    """The session has partitions for its largest input; what the driver keeps of shuffles of names is to follow the names."""
+    key, used = "spark.sql.shuffle.partitions", []
+    before, written = spark.conf.get(key), names.spooled
+    monkeypatch.setattr(names, "spooled", lambda df: used.append(int(spark.conf.get(key))) or written(df))
+    rows = [(f"Bryfur{a}{b} Primary School", "CN", None) for a in "aeiou" for b in "lmnst"]
+    try:
+        spark.conf.set(key, "61")
+        out = name_clusters(spark.createDataFrame(rows, "name string, country string, place string"), PLACES)
+        assert spark.conf.get(key) == "61"
+    finally:
+        spark.conf.set(key, before)
+    assert out.count() == len(rows) and used[0] == 61 and set(used[1:]) == {2 * spark.sparkContext.defaultParallelism}
+
+
 def test_places(spark):
     df = spark.createDataFrame([("VALMOREL SUR ORNE",), ("al  safwa",), ("Elsewhere",), (None,)], "c string")
     assert [r.p for r in df.select(known_place(F.col("c"), PLACES).alias("p")).collect()] == ["valmorel sur orne", "al safwa", None, None]
