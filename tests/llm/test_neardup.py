@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from wrenfield.llm import neardup
 from wrenfield.llm.graph import components
 from wrenfield.llm.neardup import SKETCH, band_keys, most_alike, near_duplicates, normal_words, shingle_sets, sketches, super_min_hash
 from pyspark.sql import functions as F
@@ -110,3 +111,32 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 10: 10, 11: 10, 5: 5, 6: 5, 7: 5} | {100 + i: 100 for i in range(41)}
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def _edited(n):
+    base = [f"w{i * 7919 % 1000} " + " ".join(f"x{(i * 31 + j * j) % 97}" for j in range(40)) for i in range(n)]
+    return [(f"{i}-{k}", t + f" end{k}") for i, t in enumerate(base) for k in range(2)]
+
+
+def test_entries_take_the_same_bytes_in_any_number_of_buckets(spark):
+    rows = spark.createDataFrame(_edited(40), "id string, t string")
+    for partitions in (2, 600):
+        sign = neardup.signed(rows, id="id", text=F.col("t"), words=3, bands=8, band_rows=4, partitions=partitions)
+        binary = [c for c, kind in sign.dtypes if kind == "binary"]
+        taken = sign.select(sum(F.coalesce(F.length(c), F.lit(0)) for c in binary).alias("n")).agg(F.sum("n")).first()[0]
+        assert taken == 80 * 8 * 8
+
+
+def test_classes_of_one_short_are_told_apart(spark, monkeypatch):
+    rows = spark.createDataFrame(_edited(6), "id string, t string")
+
+    def found():
+        members, pairs = neardup.near_duplicates(rows, id="id", text=F.col("t"), words=3, threshold=0.6, bands=40, band_rows=3, partitions=3)
+        ids = {r["class"]: r.id for r in members.collect()}
+        got = pairs.collect()
+        assert all(r.a < r.b for r in got)
+        return sorted(tuple(sorted((ids[r.a], ids[r.b]))) for r in got)
+
+    whole, hashes = found(), neardup.set_hashes
+    monkeypatch.setattr(neardup, "set_hashes", lambda *a: hashes(*a) & np.uint64(0xFFFFFFFF) | np.uint64(5 << 32))
+    assert len(whole) >= 6 and found() == whole

@@ -192,10 +192,15 @@ REMEMBERED = 200_000
 BLOCK = 512
 
 
+def short(class_: Column) -> Column:
+    """The upper 32 bits of a class, by which classes meet; two classes may have one."""
+    return F.shiftright(class_, 32).cast("int")
+
+
 def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, band_rows: int, partitions: int) -> DataFrame:
     """Two kinds of rows. Of each record: id, class (the hash of its shingle set) and, but for copies that the same task has
-    met before, the size and sketch of the set. Of each slice of records and ``bucket``: the classes signed there, and as
-    ``entries`` the band keys that fall into the bucket, each before the place of its class.
+    met before, the size and sketch of the set. Of each slice of records and ``bucket``: as ``entries`` the band keys that fall
+    into the bucket, 32 bits of each before the ``short`` of its class, so an entry takes 8 bytes however many buckets there are.
 
     Texts without a word, null ones too, have class 0 and are like nothing; records without an id are left out.
     """
@@ -222,28 +227,24 @@ def signed(rows: DataFrame, *, id: str, text: Column, words: int, bands: int, ba
             bits[fresh] = sketches(new_owner, new_h, count)
             spread = (hashes % np.uint64(partitions)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), batch.column("id"), pa.array(hashes.view(np.int64)), pa.array(size, mask=~fresh), *[pa.array(bits[:, i], mask=~fresh) for i in range(SKETCH)], pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                [pa.array(spread), batch.column("id"), pa.array(hashes.view(np.int64)), pa.array(size, mask=~fresh), *[pa.array(bits[:, i], mask=~fresh) for i in range(SKETCH)], pa.nulls(n, pa.binary())],
                 schema=kinds,
             )
-            place = np.repeat(np.arange(count, dtype=np.uint64), bands)
             bucket = (keys % np.uint64(partitions)).astype(np.int32)
+            entry = (keys // np.uint64(partitions) << np.uint64(32)) | np.repeat(hashes[fresh] >> np.uint64(32), bands)
             order = np.argsort(bucket, kind="stable")
-            bucket, keys, place = bucket[order], keys[order], place[order]
+            bucket, entry = bucket[order], entry[order]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
-            own, tables, entries = hashes[fresh], [], []
-            for lo, hi in zip(first, [*first[1:], len(bucket)]):
-                here, at = np.unique(place[lo:hi], return_inverse=True)
-                tables.append(own[here.astype(np.int64)].tobytes())
-                entries.append(((keys[lo:hi] << np.uint64(12)) | at.astype(np.uint64)).tobytes())
+            entries = [entry[lo:hi].tobytes() for lo, hi in zip(first, [*first[1:], len(bucket)])]
             m = len(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first]), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64()) for _ in range(SKETCH)], pa.array(tables, pa.binary()), pa.array(entries, pa.binary())],
+                [pa.array(bucket[first]), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64()) for _ in range(SKETCH)], pa.array(entries, pa.binary())],
                 schema=kinds,
             )
 
-    kinds = pa.schema([("bucket", pa.int32()), ("id", pa.string()), ("class", pa.int64()), ("size", pa.int32()), *[(f"s{i}", pa.int64()) for i in range(SKETCH)], ("classes", pa.binary()), ("entries", pa.binary())])
+    kinds = pa.schema([("bucket", pa.int32()), ("id", pa.string()), ("class", pa.int64()), ("size", pa.int32()), *[(f"s{i}", pa.int64()) for i in range(SKETCH)], ("entries", pa.binary())])
     read = rows.where(F.col(id).isNotNull()).select(F.col(id).cast("string").alias("id"), text.alias("words")).where("words is not null")
-    return read.mapInArrow(sign, f"bucket int, id string, class bigint, {_DRAWN}, classes binary, entries binary")
+    return read.mapInArrow(sign, f"bucket int, id string, class bigint, {_DRAWN}, entries binary")
 
 
 def _pairs_of(key: np.ndarray, classes: np.ndarray) -> Iterator[tuple[str, np.ndarray | list, np.ndarray | list]]:
@@ -286,26 +287,26 @@ def _pairs_of(key: np.ndarray, classes: np.ndarray) -> Iterator[tuple[str, np.nd
 
 
 def met(sign: DataFrame, partitions: int) -> DataFrame:
-    """(id, class, size, sketch, a, b, left, right): the records of ``signed``, and pairs of classes that share a band.
+    """(id, class, size, sketch, a, b, left, right): the records of ``signed``, and pairs of shorts of classes that share a band.
 
     The entries of a bucket come together in one task, 8 bytes a band and class; ``partitions`` is to be so large that a
     bucket takes a few ten MB. A key that very many classes have is not met there: its classes leave in blocks, of which
     every two are a row of their own (``left``, ``right``), to be met wherever there is room.
     """
     none = lambda n, kind: pa.nulls(n, kind)
-    out = pa.schema([("id", pa.string()), ("class", pa.int64()), ("size", pa.int32()), *[(f"s{i}", pa.int64()) for i in range(SKETCH)], ("a", pa.int64()), ("b", pa.int64()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
+    out = pa.schema([("id", pa.string()), ("class", pa.int64()), ("size", pa.int32()), *[(f"s{i}", pa.int64()) for i in range(SKETCH)], ("a", pa.int32()), ("b", pa.int32()), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, classes = [], []
         for batch in batches:
             records = batch.filter(batch.column("entries").is_null())
             n = records.num_rows
-            yield pa.RecordBatch.from_arrays([*[records.column(c) for c in out.names[: 3 + SKETCH]], none(n, pa.int64()), none(n, pa.int64()), none(n, out.field("left").type), none(n, out.field("left").type)], schema=out)
-            for table, entry in zip(batch.column("classes"), batch.column("entries")):
+            yield pa.RecordBatch.from_arrays([*[records.column(c) for c in out.names[: 3 + SKETCH]], none(n, pa.int32()), none(n, pa.int32()), none(n, out.field("left").type), none(n, out.field("left").type)], schema=out)
+            for entry in batch.column("entries"):
                 if entry.is_valid:
                     x = np.frombuffer(entry.as_buffer(), dtype=np.uint64)
-                    keys.append(x >> np.uint64(12))
-                    classes.append(np.frombuffer(table.as_buffer(), dtype=np.int64)[(x & np.uint64(4095)).astype(np.int64)])
+                    keys.append((x >> np.uint64(32)).astype(np.uint32))
+                    classes.append(x.astype(np.uint32).view(np.int32))
         if not keys:
             return
         for kind, a, b in _pairs_of(np.concatenate(keys), np.concatenate(classes)):
@@ -313,10 +314,10 @@ def met(sign: DataFrame, partitions: int) -> DataFrame:
             for i in range(0, len(a), step):
                 x, y = a[i : i + step], b[i : i + step]
                 n = len(x)
-                lists = [none(n, pa.int64()), none(n, pa.int64()), pa.array(x, out.field("left").type), pa.array(y, out.field("left").type)] if kind == "blocks" else [pa.array(x), pa.array(y), none(n, out.field("left").type), none(n, out.field("left").type)]
+                lists = [none(n, pa.int32()), none(n, pa.int32()), pa.array(x, out.field("left").type), pa.array(y, out.field("left").type)] if kind == "blocks" else [pa.array(x), pa.array(y), none(n, out.field("left").type), none(n, out.field("left").type)]
                 yield pa.RecordBatch.from_arrays([none(n, out.field(c).type) for c in out.names[: 3 + SKETCH]] + lists, schema=out)
 
-    return sign.repartition(partitions, "bucket").mapInArrow(meet, f"id string, class bigint, {_DRAWN}, a bigint, b bigint, left array<bigint>, right array<bigint>")
+    return sign.repartition(partitions, "bucket").mapInArrow(meet, f"id string, class bigint, {_DRAWN}, a int, b int, left array<int>, right array<int>")
 
 
 def near_duplicates(rows: DataFrame, *, id: str, text: Column, words: int, threshold: float, bands: int, band_rows: int, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -333,9 +334,12 @@ def near_duplicates(rows: DataFrame, *, id: str, text: Column, words: int, thres
     drawn = all_.where("size is not null").groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ["size", *[f"s{i}" for i in range(SKETCH)]]])
     blocks = all_.where("left is not null").select("left", "right").repartition(partitions)
     blocks = blocks.select(F.explode("left").alias("a"), "right").select("a", F.explode("right").alias("b")).where("a < b")
-    candidates = all_.where("a is not null").select("a", "b").union(blocks).distinct()
-    side = lambda x: drawn.select(F.col("class").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in drawn.columns[2:]])
-    pairs = spooled(candidates.join(side("a"), "a").join(side("b"), "b").where(most_alike() >= threshold - 1e-12).select("a", "b"))
+    # Classes of one short don't tell each other from themselves where bands meet; they are few, and all of them are candidates.
+    twins = drawn.groupBy(short(F.col("class")).alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a", F.col("a").alias("b"))
+    candidates = all_.where("a is not null").select("a", "b").union(blocks).distinct().union(twins)
+    side = lambda x: drawn.select(short(F.col("class")).alias(x), F.col("class").alias(f"{x}_class"), *[F.col(c).alias(f"{x}_{c}") for c in drawn.columns[2:]])
+    near = candidates.join(side("a"), "a").join(side("b"), "b").where("a <> b or a_class < b_class").where(most_alike() >= threshold - 1e-12)
+    pairs = spooled(near.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(drawn.select("class", "id"), "class").select(F.col("id").alias("_id"))
     read = rows.where(F.col(id).isNotNull()).select(F.col(id).cast("string").alias("_id"), text.alias("words")).where("words is not null")
 
