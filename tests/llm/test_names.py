@@ -123,3 +123,12 @@ def test_names_without_a_kind_meet_schools_of_one_kind(spark):
     names = [("1", [""], "bleveton"), ("2", [""], "zinurwoth"), ("3", [""], "lesorbam"), ("4", ["college"], "zinurwoth"), ("5", ["high"], "bleveton"), ("6", [""], "")]
     adverts = spark.createDataFrame([(*n, None, None, []) for n in names], "id string, kinds array<string>, proper string, country string, place string, domains array<string>")
     assert {(r.id, r.key) for r in candidates(adverts, entities).collect()} == {("1", "b"), ("3", "e"), ("4", "c")}
+
+
+def test_candidates_join_names_once(spark):
+    """What the driver plans and runs as one query is to stay small: no join of close names may be in the plan that is left."""
+    adverts = spark.createDataFrame([("1", [""], "bryfurin", "CN", None, ["own.example"])], "id string, kinds array<string>, proper string, country string, place string, domains array<string>")
+    entities = spark.createDataFrame([("A", "primary", "bryfurinn", "CN", None, "own.example")], "key string, kind string, proper string, country string, place string, domain string")
+    scored = candidates(adverts, entities)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
+    assert [(r.id, r.key) for r in scored.collect()] == [("1", "A")]
